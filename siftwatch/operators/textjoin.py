@@ -32,6 +32,9 @@ PAIRS_PER_ENTRY = 32
 WORTHWHILE = 0.01
 # Rows of one list in one task of the pair join.
 LIST_ROWS = 4096
+# The prefix runs on until the rest is this far below the threshold. Rows that share a rare bucket by chance then
+# fail the cheap bound, which saves far more vector traffic than the longer lists cost.
+MARGIN = 0.05
 PAIR_SCHEMA = "i bigint, j bigint, sim double"
 UNIT_SCHEMA = (
     "row_id bigint, idx array<int>, val array<double>, prefix_idx array<int>, prefix_val array<double>, "
@@ -64,7 +67,7 @@ def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> Data
             row_end = np.cumsum(lengths)
             end_total = np.concatenate(([0.0], total))[row_end]
             tail = end_total[row] - total + square
-            inside = tail >= (threshold - SLACK) ** 2
+            inside = tail >= (threshold - MARGIN) ** 2
             head = order[inside]
             rest = np.sqrt(np.maximum(own - np.bincount(row[inside], weights=square[inside], minlength=n), 0.0))
             head_n = np.bincount(row[inside], minlength=n)
@@ -120,9 +123,23 @@ def verify(candidates: DataFrame, units: DataFrame, threshold: float, n: int) ->
     return both.mapInArrow(dots, PAIR_SCHEMA)
 
 
-def _cheap_bound(acc, rest_i, rest_j, threshold: float):
-    """Shared prefix part plus the most the rest can add must reach the threshold."""
-    return acc + F.greatest(rest_i, rest_j) >= threshold - SLACK
+def _reaching(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(i, j)`` of ``met (i, j, wi, wj, ri, rj)`` whose shared prefix part plus the most the rest can add
+    reaches the threshold. Beyond the shorter prefix lies at most that row's rest times what the other row has left
+    besides the shared buckets."""
+    shared = met.groupBy("i", "j").agg(
+        F.sum(F.col("wi") * F.col("wj")).alias("acc"),
+        F.sum(F.col("wi") * F.col("wi")).alias("si"),
+        F.sum(F.col("wj") * F.col("wj")).alias("sj"),
+        F.first("ri").alias("ri"),
+        F.first("rj").alias("rj"),
+    )
+
+    def left(used):
+        return F.sqrt(F.greatest(F.lit(1.0) - F.col(used), F.lit(0.0)))
+
+    most = F.col("acc") + F.greatest(F.col("ri") * left("sj"), F.col("rj") * left("si"))
+    return shared.where(most >= threshold - SLACK).select("i", "j")
 
 
 def candidate_pairs(entries: DataFrame, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
@@ -131,12 +148,7 @@ def candidate_pairs(entries: DataFrame, threshold: float, list_rows: int = LIST_
     mine = entries.select("bucket", F.col("row_id").alias("i"), F.col("w").alias("wi"), F.col("rest").alias("ri"))
     other = entries.select("bucket", F.col("row_id").alias("j"), F.col("w").alias("wj"), F.col("rest").alias("rj"))
     met = salted_join(mine, other, "bucket", rows_per_salt=list_rows, spread="i").where("i < j")
-    return (
-        met.groupBy("i", "j")
-        .agg(F.sum(F.col("wi") * F.col("wj")).alias("acc"), F.first("ri").alias("ri"), F.first("rj").alias("rj"))
-        .where(_cheap_bound(F.col("acc"), F.col("ri"), F.col("rj"), threshold))
-        .select("i", "j")
-    )
+    return _reaching(met, threshold)
 
 
 def pairs_above(units: DataFrame, threshold: float) -> DataFrame:
@@ -146,14 +158,11 @@ def pairs_above(units: DataFrame, threshold: float) -> DataFrame:
 
 
 def _matched_by(leaders: DataFrame, entries: DataFrame, units: DataFrame, threshold: float) -> DataFrame:
-    """Rows after a leader that match it; ``entries`` are the lists, ``leaders`` rows ``(bucket, leader, lw, lrest)``."""
-    met = salted_join(entries, leaders, "bucket", spread="row_id").where("leader < row_id")
-    candidates = stage(
-        met.groupBy(F.col("leader").alias("i"), F.col("row_id").alias("j"))
-        .agg(F.sum(F.col("w") * F.col("lw")).alias("acc"), F.first("lrest").alias("ri"), F.first("rest").alias("rj"))
-        .where(_cheap_bound(F.col("acc"), F.col("ri"), F.col("rj"), threshold))
-        .select("i", "j")
-    )
+    """Pairs of a leader and a later row that matches it. Both are list entries ``(bucket, row_id, w, rest)``."""
+    first = leaders.select("bucket", F.col("row_id").alias("i"), F.col("w").alias("wi"), F.col("rest").alias("ri"))
+    later = entries.select("bucket", F.col("row_id").alias("j"), F.col("w").alias("wj"), F.col("rest").alias("rj"))
+    met = salted_join(later, first, "bucket", spread="j").where("i < j")
+    candidates = stage(_reaching(met, threshold))
     return verify(candidates, units, threshold, candidates.count())
 
 
@@ -184,9 +193,7 @@ def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = P
         leading = salted_join(entries, first, "bucket", spread="row_id")
         by_row = leading.groupBy("row_id").agg(F.bool_and(F.col("first") == F.col("row_id")).alias("leads"))
         leaders = stage(by_row.where("leads").select("row_id"))
-        heads = entries.join(leaders, "row_id").select(
-            "bucket", F.col("row_id").alias("leader"), F.col("w").alias("lw"), F.col("rest").alias("lrest")
-        )
+        heads = entries.join(leaders, "row_id")
         gone = stage(_matched_by(heads, entries, units, threshold).select(F.col("j").alias("row_id")).distinct())
         removed.append(gone)
         rounds += 1
@@ -232,10 +239,7 @@ def find_duplicates(
         # Survivors and removed rows of different rounds can match too; the report wants them all.
         gone = removed.withColumn("gone", F.lit(True))
         flagged = stage(postings(graph).join(gone, "row_id", "left"))
-        alive = flagged.where("gone is null").select(
-            "bucket", F.col("row_id").alias("leader"), F.col("w").alias("lw"), F.col("rest").alias("lrest")
-        )
-        pairs = _matched_by(alive, flagged.where("gone").drop("gone"), graph, threshold)
+        pairs = _matched_by(flagged.where("gone is null"), flagged.where("gone"), graph, threshold)
     else:
         pairs = salted_join(edges, removed.select(F.col("row_id").alias("i")), "i", "left_anti", spread="j")
     return dedup.with_copies(removed, stage(pairs), copies, graph.select("row_id", "self_sim"))
