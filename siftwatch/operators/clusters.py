@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftwatch.functions import arrays, text as T
 from siftwatch.functions.vectors import as_double, euclidean
+from siftwatch.operators.skew import lookup_join
 
 K = 10
 RESTARTS = 10
@@ -80,9 +81,9 @@ def cluster_centers(df: DataFrame, vector: str = "embedding", cluster: str = "cl
 
 
 def member_distances(df: DataFrame, centers: DataFrame, vector: str = "embedding", cluster: str = "cluster") -> DataFrame:
-    """Adds ``distance`` to the row's own center. ``centers`` has one row per cluster id, k of them."""
+    """Adds ``distance`` to the row's own center. ``centers``, one row per cluster id, is a written or literal table."""
     own = centers.select(F.col("cluster_id").alias(cluster), "center")
-    return df.join(F.broadcast(own), cluster).withColumn("distance", euclidean(vector, "center")).drop("center")
+    return lookup_join(df, own, cluster).withColumn("distance", euclidean(vector, "center")).drop("center")
 
 
 def cluster_spread(distances: DataFrame, k: int | None = None, cluster: str = "cluster") -> DataFrame:
@@ -113,11 +114,11 @@ def novelty_z(distance: Column, std_dev: Column) -> Column:
 
 
 def add_novelty(distances: DataFrame, spread: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Adds ``novelty_z`` and ``novelty_score`` (the same, limited to 0..1)."""
+    """Adds ``novelty_z`` and ``novelty_score`` (the same, limited to 0..1). ``spread`` is a written table."""
     own = spread.select(F.col("cluster_id").alias(cluster), "std_dev")
     z = novelty_z(F.col("distance"), F.col("std_dev"))
     return (
-        distances.join(F.broadcast(own), cluster)
+        lookup_join(distances, own, cluster)
         .withColumn("novelty_z", z)
         .withColumn("novelty_score", F.least(F.greatest(F.col("novelty_z"), F.lit(0.0)), F.lit(1.0)))
         .drop("std_dev")

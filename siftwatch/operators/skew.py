@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 # A key above this many rows is cut into slices of about this size.
 ROWS_PER_SALT = 1_000_000
+# A side table up to this many rows is copied to every executor.
+MAX_LOOKUP_ROWS = 20_000
 
 
 def salted_join(
@@ -46,6 +48,16 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    big: DataFrame, small: DataFrame, key: str, how: str = "inner", max_rows: int = MAX_LOOKUP_ROWS
+) -> DataFrame:
+    """Join with a small written or literal table: its rows are counted first, broadcast up to ``max_rows``, and
+    joined by a salted shuffle beyond that."""
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), key, how)
+    return salted_join(big, small, key, how)
+
+
 def renumber(df: DataFrame, order: str, name: str = "new_row_id", bucket_rows: int = 1_000_000) -> DataFrame:
     """Dense 0-based numbers along the unique BIGINT column ``order``, without one global window.
 
