@@ -78,7 +78,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("is_toxic"),
         ((F.col("n_chars") * 7919 % 1000).cast("double") / 1000.0).alias("similarity_score"),
         "keyword_score",
-        F.least(F.col("value") / 40.0, F.lit(1.0)).alias("novelty_score"),
+        F.least(F.col("value") / 100.0, F.lit(1.0)).alias("novelty_score"),
         (F.col("n_chars") % 45).cast("int").alias("most_similar_idx"),
         "matched_keywords",
         "num_keywords_matched",
