@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -20,6 +21,7 @@ K = 10
 RESTARTS = 10
 MAX_ITER = 300
 SEED = 42
+PARALLEL_FITS = 5
 TOP_TAGS = 5
 SAMPLES = 3
 # A spread below this counts as none.
@@ -33,14 +35,21 @@ def kmeans_fit(
     restarts: int = RESTARTS,
     max_iter: int = MAX_ITER,
     seed: int = SEED,
+    parallelism: int = PARALLEL_FITS,
 ) -> KMeansModel:
-    """Best of ``restarts`` k-means fits by total squared distance. Pass a written table: every fit reads it."""
+    """Best of ``restarts`` k-means fits by total squared distance, the earliest of equals.
+
+    Pass a written table: the points kept in memory are rebuilt from it when an executor is lost. The fits are
+    independent Spark jobs, ``parallelism`` of them at a time.
+    """
     points = df.select(array_to_vector(as_double(vector)).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = (
-            KMeans(k=k, maxIter=max_iter, seed=seed + r, tol=1e-4, featuresCol="features").fit(points)
-            for r in range(restarts)
-        )
+        points.count()
+        solvers = [
+            KMeans(k=k, maxIter=max_iter, seed=seed + r, tol=1e-4, featuresCol="features") for r in range(restarts)
+        ]
+        with ThreadPool(parallelism) as pool:
+            fits = pool.map(inheritable_thread_target(df.sparkSession)(lambda s: s.fit(points)), solvers)
         return min(fits, key=lambda m: m.summary.trainingCost)
     finally:
         points.unpersist()

@@ -42,7 +42,7 @@ def fold_copies(rows: DataFrame, key) -> tuple[DataFrame, DataFrame]:
     keyed = stage(rows.select("row_id", key.alias("copy_key")))
     leaders = keyed.groupBy("copy_key").agg(F.min("row_id").alias("leader"), F.count(F.lit(1)).alias("n"))
     groups = leaders.where(F.col("n") > 1).select("copy_key", "leader")
-    copies = salted_join(keyed, groups, "copy_key", spread="row_id", n_big=keyed.count())
+    copies = salted_join(keyed, groups, "copy_key", spread="row_id", most_per_key=keyed.count())
     return (
         leaders.select(F.col("leader").alias("row_id")),
         copies.where(F.col("row_id") != F.col("leader")).select("row_id", "leader"),
@@ -50,14 +50,14 @@ def fold_copies(rows: DataFrame, key) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve(edges: DataFrame, undecided: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Ids removed by first-wins on the graph ``edges (i, j)``, ``i < j``.
+    """Ids removed by first-wins on the graph ``edges (i, j)``, ``i < j``, a written table.
 
     Every round takes the rows that no remaining smaller row matches (they survive) and removes all rows they match;
     edges at removed rows disappear. The number of rounds is the longest chain of decisions, not the row count.
     Rows in ``undecided`` are never taken for survivors.
     """
     spark = edges.sparkSession
-    left = stage(edges.select("i", "j"))
+    left = edges.select("i", "j")
     rounds: list[DataFrame] = []
     while True:
         n = left.count()
@@ -66,12 +66,12 @@ def resolve(edges: DataFrame, undecided: DataFrame | None = None, rows_per_salt:
         roots = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
         if undecided is not None:
             roots = roots.join(undecided.select(F.col("row_id").alias("i")), "i", "left_anti")
-        hit = salted_join(left, roots, "i", "left_semi", rows_per_salt, spread="j", n_big=n)
+        hit = salted_join(left, roots, "i", "left_semi", rows_per_salt, spread="j", most_per_key=n)
         dead = stage(hit.select("j").distinct())
         if dead.isEmpty():
             break
         rounds.append(dead)
-        rest = salted_join(left, dead, "j", "left_anti", rows_per_salt, spread="i", n_big=n)
+        rest = salted_join(left, dead, "j", "left_anti", rows_per_salt, spread="i", most_per_key=n)
         rest = salted_join(rest, dead.select(F.col("j").alias("i")), "i", "left_anti", rows_per_salt, "j", n)
         left = stage(rest.select("i", "j"))
     out = spark.createDataFrame([], "row_id bigint")
@@ -87,14 +87,14 @@ def with_copies(removed: DataFrame, pairs: DataFrame, copies: DataFrame, self_si
     """
     n = copies.count()
     by_leader = copies.select("row_id", F.col("leader").alias("j"))
-    inherited = salted_join(by_leader, pairs, "j", spread="row_id", n_big=n).select(
+    inherited = salted_join(by_leader, pairs, "j", spread="row_id", most_per_key=n).select(
         "i", F.col("row_id").alias("j"), "sim"
     )
     surviving = salted_join(
-        copies, removed.select(F.col("row_id").alias("leader")), "leader", "left_anti", spread="row_id", n_big=n
+        copies, removed.select(F.col("row_id").alias("leader")), "leader", "left_anti", spread="row_id", most_per_key=n
     )
     own = salted_join(
-        surviving, self_sims.withColumnRenamed("row_id", "leader"), "leader", spread="row_id", n_big=n
+        surviving, self_sims.withColumnRenamed("row_id", "leader"), "leader", spread="row_id", most_per_key=n
     ).select(F.col("leader").alias("i"), F.col("row_id").alias("j"), F.col("self_sim").alias("sim"))
     return Duplicates(
         removed.select("row_id").unionByName(copies.select("row_id")),
@@ -161,10 +161,10 @@ def duplicate_report(pairs: DataFrame, names: DataFrame, ordered: bool = True) -
     pairs = stage(pairs)
     n = pairs.count()
     named = salted_join(
-        pairs, short.select(F.col("row_id").alias("i"), F.col("name").alias("original_name")), "i", spread="j", n_big=n
+        pairs, short.select(F.col("row_id").alias("i"), F.col("name").alias("original_name")), "i", spread="j", most_per_key=n
     )
     named = salted_join(
-        named, short.select(F.col("row_id").alias("j"), F.col("name").alias("duplicate_name")), "j", spread="i", n_big=n
+        named, short.select(F.col("row_id").alias("j"), F.col("name").alias("duplicate_name")), "j", spread="i", most_per_key=n
     )
     report = named.select(
         F.col("i").alias("original_idx"),

@@ -17,16 +17,17 @@ def salted_join(
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
     spread: str | None = None,
-    n_big: int | None = None,
+    most_per_key: int | None = None,
 ) -> DataFrame:
     """``big`` join ``small`` on ``key`` where ``big`` may be skewed on it.
 
     Keys with more than ``rows_per_salt`` rows in ``big`` are hot; there are at most ``|big| / rows_per_salt`` of
     them, which bounds the broadcast table of hot keys. Their rows are spread over slices by ``spread`` (a column
     of ``big``) and the matching rows of ``small`` are repeated once per slice, so every row still meets all its
-    partners exactly once. ``n_big``, when known, proves that no key can be hot and gives a plain join.
+    partners exactly once. ``most_per_key``, a known bound on the rows of any key in ``big``, can rule out hot keys
+    and then gives a plain join.
     """
-    if n_big is not None and n_big <= rows_per_salt:
+    if most_per_key is not None and most_per_key <= rows_per_salt:
         return big.join(small, key, how)
     spread_col = F.col(spread) if spread else F.struct(*big.columns)
     hot = F.broadcast(

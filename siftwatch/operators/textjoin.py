@@ -100,8 +100,8 @@ def verify(candidates: DataFrame, units: DataFrame, threshold: float, n: int) ->
     sparse = units.select("row_id", "idx", "val")
     first = sparse.select(F.col("row_id").alias("i"), F.col("idx").alias("ii"), F.col("val").alias("vi"))
     second = sparse.select(F.col("row_id").alias("j"), F.col("idx").alias("ij"), F.col("val").alias("vj"))
-    both = salted_join(candidates.select("i", "j"), first, "i", spread="j", n_big=n)
-    both = salted_join(both, second, "j", spread="i", n_big=n)
+    both = salted_join(candidates.select("i", "j"), first, "i", spread="j", most_per_key=n)
+    both = salted_join(both, second, "j", spread="i", most_per_key=n)
 
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +142,14 @@ def _reaching(met: DataFrame, threshold: float) -> DataFrame:
     return shared.where(most >= threshold - SLACK).select("i", "j")
 
 
-def candidate_pairs(entries: DataFrame, threshold: float, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Pairs ``(i, j)``, ``i < j``, that share prefix buckets and pass the cheap bound. Long lists are cut into
-    slices that different tasks join."""
+def candidate_pairs(
+    entries: DataFrame, threshold: float, list_rows: int = LIST_ROWS, longest: int | None = None
+) -> DataFrame:
+    """Pairs ``(i, j)``, ``i < j``, that share prefix buckets and pass the cheap bound. Lists above ``list_rows``
+    are cut into slices that different tasks join; ``longest`` bounds the list lengths when it is known."""
     mine = entries.select("bucket", F.col("row_id").alias("i"), F.col("w").alias("wi"), F.col("rest").alias("ri"))
     other = entries.select("bucket", F.col("row_id").alias("j"), F.col("w").alias("wj"), F.col("rest").alias("rj"))
-    met = salted_join(mine, other, "bucket", rows_per_salt=list_rows, spread="i").where("i < j")
+    met = salted_join(mine, other, "bucket", rows_per_salt=list_rows, spread="i", most_per_key=longest).where("i < j")
     return _reaching(met, threshold)
 
 
@@ -171,6 +173,7 @@ class Thinned:
     entries: DataFrame
     removed: list[DataFrame]
     rounds: int
+    longest: int
 
 
 def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = PAIRS_PER_ENTRY) -> Thinned:
@@ -186,7 +189,9 @@ def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = P
     rounds = 0
     while True:
         sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
-        load = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n")).first()
+        load = sizes.agg(
+            F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("longest")
+        ).first()
         if not load.n or load.pairs <= pairs_per_entry * load.n:
             break
         first = entries.groupBy("bucket").agg(F.min("row_id").alias("first"))
@@ -203,7 +208,7 @@ def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = P
         )
         if leaders.count() + gone.count() < WORTHWHILE * before:
             break
-    return Thinned(entries, removed, rounds)
+    return Thinned(entries, removed, rounds, int(load.longest or 0))
 
 
 def find_duplicates(
@@ -229,8 +234,9 @@ def find_duplicates(
     graph = stage(units.join(leaders, "row_id"))
 
     thinned = leader_rounds(graph, threshold, pairs_per_entry)
-    candidates = stage(candidate_pairs(thinned.entries, threshold))
-    edges = stage(verify(candidates, graph, threshold, candidates.count()))
+    candidates = stage(candidate_pairs(thinned.entries, threshold, longest=thinned.longest))
+    n_candidates = candidates.count()
+    edges = stage(verify(candidates, graph, threshold, n_candidates))
     removed = dedup.resolve(edges)
     for gone in thinned.removed:
         removed = removed.unionByName(gone)
@@ -241,5 +247,6 @@ def find_duplicates(
         flagged = stage(postings(graph).join(gone, "row_id", "left"))
         pairs = _matched_by(flagged.where("gone is null"), flagged.where("gone"), graph, threshold)
     else:
-        pairs = salted_join(edges, removed.select(F.col("row_id").alias("i")), "i", "left_anti", spread="j")
+        gone = removed.select(F.col("row_id").alias("i"))
+        pairs = salted_join(edges, gone, "i", "left_anti", spread="j", most_per_key=n_candidates)
     return dedup.with_copies(removed, stage(pairs), copies, graph.select("row_id", "self_sim"))

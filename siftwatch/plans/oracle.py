@@ -104,7 +104,7 @@ ref AS (
 
 
 TEXT_PAIRS = f"""{tfidf(384 * 1024)},
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS sim FROM unit x JOIN unit y ON x.b = y.b AND x.id < y.id
   GROUP BY ALL HAVING sum(x.w * y.w) >= {T}::DOUBLE)"""
 
@@ -114,7 +114,7 @@ u AS (
   SELECT row_id, cluster, e, list_transform(e, lambda x: x / (sqrt(list_dot_product(e, e)) + 1e-8::DOUBLE)) AS unit
   FROM v)"""
 VEC_PAIRS = f"""{VEC},
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT x.row_id AS i, y.row_id AS j, list_dot_product(x.unit, y.unit) AS sim
   FROM u x JOIN u y ON x.row_id < y.row_id
   WHERE list_dot_product(x.unit, y.unit) >= {fx.VECTOR_THRESHOLD}::DOUBLE)"""
@@ -123,15 +123,15 @@ pairs AS (
 def greedy(rows: str) -> str:
     """First-wins in row order as a fold: ``survivors(row_id)``. Only rows with a smaller match need a step."""
     return f"""
-near AS (SELECT j, list(i) AS nb FROM pairs GROUP BY j),
-steps AS (SELECT row_number() OVER (ORDER BY j) AS k, j, nb FROM near),
+near AS MATERIALIZED (SELECT j, list(i) AS nb FROM pairs GROUP BY j),
+steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY j) AS k, j, nb FROM near),
 fold AS (
   SELECT 0::BIGINT AS k, []::BIGINT[] AS gone
   UNION ALL
   SELECT s.k, CASE WHEN len(list_filter(s.nb, lambda x: NOT list_contains(f.gone, x))) > 0
                    THEN list_append(f.gone, s.j) ELSE f.gone END
   FROM fold f JOIN steps s ON s.k = f.k + 1),
-removed AS (SELECT unnest(gone) AS row_id FROM (SELECT gone FROM fold ORDER BY k DESC LIMIT 1)),
+removed AS MATERIALIZED (SELECT unnest(gone) AS row_id FROM (SELECT gone FROM fold ORDER BY k DESC LIMIT 1)),
 survivors AS (SELECT row_id FROM ({rows}) r WHERE row_id NOT IN (SELECT row_id FROM removed))"""
 
 
