@@ -42,7 +42,11 @@ def kmeans_fit(
     Pass a written table: the points kept in memory are rebuilt from it when an executor is lost. The fits are
     independent Spark jobs, ``parallelism`` of them at a time.
     """
-    points = df.select(array_to_vector(as_double(vector)).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    features = df.select(array_to_vector(as_double(vector)).alias("features"))
+    # Hundreds of passes follow, so one shuffle into even partitions pays.
+    sc = df.sparkSession.sparkContext
+    points = features.repartition(max(sc.defaultParallelism, features.rdd.getNumPartitions()))
+    points = points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         points.count()
         solvers = [

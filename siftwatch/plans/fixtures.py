@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwatch.functions.bands import is_critical, risk_band
 from siftwatch.operators import scoring
+from siftwatch.sources import tables
 
 # Words that occur in the test documents; the built-in lists hardly do.
 KEYWORDS = ["license", "token", "rights", "apache", "nicht", "thing", "thble", "erble", "blend"]
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e, l = (table(spark, sf_dir, t) for t in ("documents", "events", "labels"))
     return (
-        d.join(l, "doc_id", "left")
+        tables.spread(d).join(l, "doc_id", "left")
         .join(e.select(F.col("event_id").alias("doc_id"), "ts", "value"), "doc_id")
         .select(
             F.col("doc_id").alias("row_id"),

@@ -26,6 +26,13 @@ def scan(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **op
     return reader.format(fmt).load(path)
 
 
+def spread(scanned: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores (one small file) is dealt out to all of them; any larger
+    scan stays as it is, without a shuffle."""
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
+
+
 def scan_threats(spark: SparkSession, path: str, fmt: str = "parquet", schema: str = schemas.THREAT) -> DataFrame:
     return scan(spark, path, schema, fmt)
 
