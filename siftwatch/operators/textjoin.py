@@ -28,13 +28,15 @@ from siftwatch.staging import stage
 SLACK = 1e-9
 # Leader rounds go on while the lists hold more than this many candidate pairs per entry ...
 PAIRS_PER_ENTRY = 32
-# ... and each of them decides at least this share of the rows that are left.
-WORTHWHILE = 0.01
+# ... and each of them takes away at least this share of the pairs.
+WORTHWHILE = 0.2
 # Rows of one list in one task of the pair join.
 LIST_ROWS = 4096
 # The prefix runs on until the rest is this far below the threshold. Rows that share a rare bucket by chance then
-# fail the cheap bound, which saves far more vector traffic than the longer lists cost.
+# fail the cheap bound, which saves far more vector traffic than the longer lists cost. The extension ends at
+# buckets of more rows than EXTEND_ROWS, so it adds no long list.
 MARGIN = 0.05
+EXTEND_ROWS = 512
 PAIR_SCHEMA = "i bigint, j bigint, sim double"
 UNIT_SCHEMA = (
     "row_id bigint, idx array<int>, val array<double>, prefix_idx array<int>, prefix_val array<double>, "
@@ -45,7 +47,7 @@ UNIT_SCHEMA = (
 def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> DataFrame:
     """Unit vectors in bucket order with their prefix: narrow, one pass. Rows without tokens drop out (they match
     nothing). ``rest`` is the norm of what is outside the prefix."""
-    dim, weights = idf.dim, idf.weights
+    dim, weights, frequency = idf.dim, idf.weights, idf.df
     # The common order of the buckets: rarest first, equal frequencies by number.
     rank = np.empty(dim, dtype=np.int64)
     rank[np.lexsort((np.arange(dim), idf.df))] = np.arange(dim)
@@ -67,7 +69,9 @@ def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> Data
             row_end = np.cumsum(lengths)
             end_total = np.concatenate(([0.0], total))[row_end]
             tail = end_total[row] - total + square
-            inside = tail >= (threshold - MARGIN) ** 2
+            needed = tail >= (threshold - SLACK) ** 2
+            # Frequencies ascend along the order, so what is kept is still one run from the rarest bucket on.
+            inside = needed | ((tail >= (threshold - MARGIN) ** 2) & (frequency[idx[order]] <= EXTEND_ROWS))
             head = order[inside]
             rest = np.sqrt(np.maximum(own - np.bincount(row[inside], weights=square[inside], minlength=n), 0.0))
             head_n = np.bincount(row[inside], minlength=n)
@@ -181,19 +185,20 @@ def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = P
 
     A smaller row that matches row *r* shares a list with it, so a row first in every list of its own has none and
     survives. It needs no further comparison after its round, and leaves with the rows it removed. A round costs one
-    comparison per list entry at most; it stops early when it no longer decides enough rows, which only leaves more
+    comparison per list entry at most. The rounds end early when one took away too few pairs, which only leaves more
     for the pair join.
     """
     entries = stage(postings(units))
     removed: list[DataFrame] = []
-    rounds = 0
+    rounds, before = 0, float("inf")
     while True:
         sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
         load = sizes.agg(
             F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("n"), F.max("n").alias("longest")
         ).first()
-        if not load.n or load.pairs <= pairs_per_entry * load.n:
+        if not load.n or load.pairs <= pairs_per_entry * load.n or load.pairs > (1.0 - WORTHWHILE) * before:
             break
+        before = load.pairs
         first = entries.groupBy("bucket").agg(F.min("row_id").alias("first"))
         leading = salted_join(entries, first, "bucket", spread="row_id")
         by_row = leading.groupBy("row_id").agg(F.bool_and(F.col("first") == F.col("row_id")).alias("leads"))
@@ -202,12 +207,7 @@ def leader_rounds(units: DataFrame, threshold: float, pairs_per_entry: float = P
         gone = stage(_matched_by(heads, entries, units, threshold).select(F.col("j").alias("row_id")).distinct())
         removed.append(gone)
         rounds += 1
-        before = entries.select("row_id").distinct().count()
-        entries = stage(
-            entries.join(leaders, "row_id", "left_anti").join(gone, "row_id", "left_anti")
-        )
-        if leaders.count() + gone.count() < WORTHWHILE * before:
-            break
+        entries = stage(entries.join(leaders, "row_id", "left_anti").join(gone, "row_id", "left_anti"))
     return Thinned(entries, removed, rounds, int(load.longest or 0))
 
 
