@@ -6,7 +6,7 @@ from siftwatch.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, shuffle_partitions=4, memory="6g")
+    return local_session(4, shuffle_partitions=2, memory="6g")
 
 
 @pytest.fixture(scope="session")

@@ -34,7 +34,8 @@ def test_row_with_two_surviving_neighbours_is_reported_twice_and_counted_once(sp
 
 
 def test_blank_rows_are_not_duplicates(spark):
-    assert result(dedup.find_duplicates(vector_table(spark, np.zeros((3, 4))))) == (set(), set())
+    m = np.concatenate([np.zeros((3, 4)), np.eye(4)])  # nor are rows at right angles
+    assert result(dedup.find_duplicates(vector_table(spark, m))) == (set(), set())
 
 
 def test_similarity_at_the_threshold_counts(spark):
@@ -45,10 +46,6 @@ def test_similarity_at_the_threshold_counts(spark):
     assert result(dedup.find_duplicates(df, threshold=np.nextafter(sim, 1)))[0] == set()
 
 
-def test_no_duplicates(spark):
-    assert result(dedup.find_duplicates(vector_table(spark, np.eye(3)))) == (set(), set())
-
-
 @pytest.mark.parametrize("bad", [0.0, -1.0, 1.5])
 def test_threshold_is_checked(spark, bad):
     with pytest.raises(ValueError):
@@ -65,30 +62,24 @@ def noisy_groups(seed=3, n=160):
     return np.array(rows)[rng.permutation(n)]
 
 
-@pytest.mark.parametrize("neighbours,block_rows", [(64, 2048), (1, 2048), (2, 20)])
+@pytest.mark.parametrize("neighbours,block_rows", [(64, 2048), (2, 40)])
 def test_matches_brute_force_with_hot_groups(spark, neighbours, block_rows):
     m = noisy_groups()
     found = dedup.find_duplicates(vector_table(spark, m), neighbours=neighbours, block_rows=block_rows)
     assert result(found) == greedy(cosines(m), 0.85)
 
 
-def test_result_does_not_depend_on_partitioning(spark):
-    m = noisy_groups(seed=5, n=60)
-    one = result(dedup.find_duplicates(vector_table(spark, m).coalesce(1)))
-    many = result(dedup.find_duplicates(vector_table(spark, m).repartition(7)))
-    assert one == many
-
-
-def test_survivors_do_not_match_and_removed_rows_have_an_earlier_survivor(spark):
+def test_result_does_not_depend_on_partitioning_and_keeps_its_promise(spark):
     m = noisy_groups(seed=8, n=90)
     sims = cosines(m)
-    gone, _ = result(dedup.find_duplicates(vector_table(spark, m)))
+    gone, pairs = result(dedup.find_duplicates(vector_table(spark, m).coalesce(1)))
+    assert (gone, pairs) == result(dedup.find_duplicates(vector_table(spark, m).repartition(7)))
     alive = sorted(set(range(len(m))) - gone)
     assert all(sims[i, j] < 0.85 for i in alive for j in alive if i < j)
     assert all(any(sims[i, j] >= 0.85 for i in alive if i < j) for j in gone)
 
 
-@pytest.mark.parametrize("pivots,block_rows", [(1, 2048), (5, 2048), (8, 16)])
+@pytest.mark.parametrize("pivots,block_rows", [(1, 2048), (6, 25)])
 def test_pruned_tiles_lose_no_pair(spark, pivots, block_rows):
     m = noisy_groups(seed=11, n=120)
     units = stage(simjoin.unit_vectors(vector_table(spark, m)))
