@@ -41,10 +41,11 @@ def exact_median(df: DataFrame, column: str = "risk_score") -> float | None:
             if upto + b.n > low_rank and upto <= high_rank:
                 hit.append((upto, b))
             upto += b.n
-        before = (lo, hi)
-        below, lo, hi, inside = hit[0][0], hit[0][1].lo, hit[-1][1].hi, sum(b.n for _, b in hit)
-        if (lo, hi) == before:
-            break
+        if len(hit) == 2:
+            # The middle falls between two bins: it is their inner ends.
+            return (hit[0][1].hi + hit[1][1].lo) / 2.0
+        below, chosen = hit[0]
+        lo, hi, inside = chosen.lo, chosen.hi, chosen.n
     running = F.sum("n").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = within.groupBy("v").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", running + below)
     middle = ranked.where((F.col("upto") > low_rank) & (F.col("upto") - F.col("n") <= high_rank))

@@ -9,6 +9,7 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, functions as F
 
 from siftwatch.operators import clusters, dedup, reports, scoring, simjoin, statistics, textjoin, vectorize
+from siftwatch.sources import tables
 from siftwatch.sources.keywords import CRITICAL
 from siftwatch.staging import stage
 
@@ -82,6 +83,19 @@ def run(
     return Run(threats, duplicates, labelled, spread, model, scoring.rank_threats(scored))
 
 
+def save(done: Run, folder: str, run_id: str) -> None:
+    """Everything a run leaves behind: ranked rows, reports, vectors with labels, the cluster model and the metrics.
+
+    The metrics are appended to those of earlier runs, the rest replaces the last run's.
+    """
+    tables.write_scored(done.scored, f"{folder}/threats_scored")
+    tables.write_duplicate_report(done.duplicate_report(), f"{folder}/duplicate_report")
+    tables.write_cluster_stats(done.cluster_stats(), f"{folder}/cluster_statistics")
+    tables.write_vectors(done.labelled, f"{folder}/vectors")
+    done.model.write().overwrite().save(f"{folder}/cluster_model")
+    tables.append_metrics(done.metrics(run_id), f"{folder}/run_metrics")
+
+
 def run_metrics(run_id: str, summary: DataFrame, sizes: DataFrame, scored: DataFrame) -> DataFrame:
     """One run's numbers as ``(run_id, key, value)``."""
     bands = reports.band_counts(scored).select(

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siftwatch.operators.skew import lookup_join
+
 # The five keyword lists, in their order.
 CRITICAL = [
     "ransomware", "wiper", "data destruction", "disk encryption",
@@ -62,12 +64,11 @@ def keyword_dim(spark: SparkSession, lists: Mapping[str, Sequence[str]] = LISTS)
 def keyword_severity(df: DataFrame, column: str, dim: DataFrame, name: str = "severity") -> DataFrame:
     """Adds the severity of the keyword in ``column``, ``low`` when it is in no list; upper and lower case are equal.
 
-    ``dim`` is reduced to one row per keyword first, so the join keeps the row count; its size decides whether
-    Spark broadcasts it.
+    ``dim`` is reduced to one row per keyword first, so the join keeps the row count.
     """
     best = dim.groupBy(F.lower("keyword").alias("_k")).agg(F.min_by("severity", "pos").alias("_s"))
     return (
-        df.join(best, F.lower(F.col(column)) == F.col("_k"), "left")
+        lookup_join(df.withColumn("_k", F.lower(F.col(column))), best, "_k", "left")
         .withColumn(name, F.coalesce("_s", F.lit("low")))
         .drop("_k", "_s")
     )

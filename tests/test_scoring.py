@@ -114,7 +114,7 @@ def test_without_critical_rows_recall_is_null_and_f1_zero(spark):
 def test_median_is_exact_in_both_ways(spark, monkeypatch, direct):
     monkeypatch.setattr(statistics, "DIRECT_VALUES", direct)
     rng = np.random.default_rng(0)
-    for values in (rng.normal(size=301), np.repeat([1.0, 2.0, 4.0, 8.0], [50, 1, 1, 50]), rng.integers(0, 9, 200) / 3):
+    for values in (rng.normal(size=301), np.repeat([1.0, 2.0, 4.0, 8.0], [50, 1, 1, 50]), np.repeat([1.0, 9.0], 40), rng.integers(0, 9, 200) / 3):
         df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (math.nan,)], "risk_score double")
         assert statistics.exact_median(df) == pytest.approx(float(np.median(values)), abs=1e-12)
     assert statistics.exact_median(df.where("risk_score > 100 and not isnan(risk_score)")) is None
