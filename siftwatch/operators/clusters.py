@@ -149,13 +149,26 @@ def top_tags(
 
     Counts are combined before the shuffle, and the rank limit is applied on both sides of the second one.
     """
+    # One entry per row and tag with its count and first place, so that plain numbers are aggregated (by hash).
     seen = (
         df.where(F.col(tags).isNotNull())
-        .select(cluster, "row_id", F.posexplode(T.tag_array(tags, strip_tags)).alias("pos", "tag"))
+        .select(cluster, "row_id", T.tag_array(tags, strip_tags).alias("_tags"))
+        .select(cluster, "row_id", "_tags", F.explode(F.array_distinct("_tags")).alias("tag"))
+        .select(
+            cluster,
+            "row_id",
+            "tag",
+            F.size(F.filter("_tags", lambda t: t == F.col("tag"))).alias("n"),
+            F.array_position("_tags", F.col("tag")).alias("pos"),
+        )
         .groupBy(cluster, "tag")
-        .agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.struct("row_id", "pos")).alias("first_seen"))
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.min("row_id").alias("first_row"),
+            F.min_by("pos", "row_id").alias("first_pos"),
+        )
     )
-    order = W.partitionBy(cluster).orderBy(F.desc("n_rows"), "first_seen")
+    order = W.partitionBy(cluster).orderBy(F.desc("n_rows"), "first_row", "first_pos")
     return (
         seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(cluster, "tag", "n_rows", "rank")
     )

@@ -95,8 +95,9 @@ def kpis(df: DataFrame) -> DataFrame:
 def score_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS, score: str = "risk_score") -> DataFrame:
     """Rows per equal-width bin (1..bins between the smallest and largest score) and band."""
     scores = df.select(clean_score(score).alias("s"), "risk_category").where("s is not null")
-    box = scores.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    lo, hi = box.select("lo").scalar(), box.select("hi").scalar()
+    # One subquery for both ends, so that the table is read once for them.
+    box = scores.agg(F.struct(F.min("s").alias("lo"), F.max("s").alias("hi")).alias("box")).scalar()
+    lo, hi = box["lo"], box["hi"]
     at = F.floor(F.try_divide(F.col("s") - lo, hi - lo) * F.lit(float(bins)))
     # One distinct score has no width: everything is in the first bin. The largest score closes the last bin.
     number = F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)) + 1

@@ -28,9 +28,9 @@ def flatten_pulse_pages(pages: DataFrame, max_pulses: int | None = None) -> Data
 
     An empty page ends the feed: it and everything after it is not read. ``max_pulses`` keeps the first ones.
     """
-    first_empty = (
-        pages.where(F.coalesce(F.size("results"), F.lit(0)) <= 0).agg(F.min("page").alias("p")).scalar()
-    )
+    empty = pages.where(F.coalesce(F.size("results"), F.lit(0)) <= 0)
+    # As a struct the answer is never NULL and both uses share one subquery.
+    first_empty = empty.agg(F.struct(F.min("page").alias("page")).alias("first")).scalar()["page"]
     pulses = (
         pages.where(F.coalesce(F.col("page") < first_empty, first_empty.isNull()))
         .select("page", F.posexplode("results").alias("pos", "pulse"))
