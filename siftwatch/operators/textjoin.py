@@ -32,6 +32,8 @@ PAIRS_PER_ENTRY = 32
 WORTHWHILE = 0.2
 # Rows of one list in one task of the pair join.
 LIST_ROWS = 4096
+# The same where a list meets few leaders, so that longer slices do.
+SLICE_ROWS = 65_536
 # The prefix runs on until the rest is this far below the threshold. Rows that share a rare bucket by chance then
 # fail the cheap bound, which saves far more vector traffic than the longer lists cost. The extension ends at
 # buckets of more rows than EXTEND_ROWS, so it adds no long list.
@@ -167,7 +169,7 @@ def _matched_by(leaders: DataFrame, entries: DataFrame, units: DataFrame, thresh
     """Pairs of a leader and a later row that matches it. Both are list entries ``(bucket, row_id, w, rest)``."""
     first = leaders.select("bucket", F.col("row_id").alias("i"), F.col("w").alias("wi"), F.col("rest").alias("ri"))
     later = entries.select("bucket", F.col("row_id").alias("j"), F.col("w").alias("wj"), F.col("rest").alias("rj"))
-    met = salted_join(later, first, "bucket", spread="j").where("i < j")
+    met = salted_join(later, first, "bucket", rows_per_salt=SLICE_ROWS, spread="j").where("i < j")
     candidates = stage(_reaching(met, threshold))
     return verify(candidates, units, threshold, candidates.count())
 

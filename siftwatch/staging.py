@@ -1,11 +1,13 @@
 """Written intermediate tables: the way this library cuts lineage.
 
 A staged table lives in the shared folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-costs a re-read and never a recomputation. Only a local session without that setting gets a folder of its own.
+costs a re-read and never a recomputation. Only a local session without that setting gets a folder of its own, for as long as the process runs.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ def stage_root(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     root = tempfile.mkdtemp(prefix="siftwatch-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     sc.setCheckpointDir(root)
     return root
 
