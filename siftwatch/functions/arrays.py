@@ -6,6 +6,10 @@ import numpy as np
 import pyarrow as pa
 
 
+# List elements worked on at once in one task.
+MAX_ELEMENTS = 4_000_000
+
+
 def _chunk(col) -> pa.Array:
     return col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
 
@@ -17,6 +21,17 @@ def ragged(col) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(arr)), lengths), arr.flatten().to_numpy(zero_copy_only=False)
 
 
+def bounded(batches, *columns: int | str, most: int = MAX_ELEMENTS):
+    """The batches cut so that their list columns hold about ``most`` elements at a time: a batch is limited in rows,
+    but its lists can be long."""
+    for batch in batches:
+        size = sum(np.diff(_chunk(batch.column(c)).offsets.to_numpy()).astype(np.int64) for c in columns)
+        part = np.cumsum(size) // most
+        starts = np.flatnonzero(np.diff(part, prepend=-1)) if batch.num_rows else np.array([0])
+        for start, end in zip(starts, np.append(starts[1:], batch.num_rows)):
+            yield batch.slice(start, end - start)
+
+
 def matrix(col) -> np.ndarray:
     """A list column of equally long vectors as a float64 matrix."""
     arr = _chunk(col)

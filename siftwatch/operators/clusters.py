@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from siftwatch.functions import arrays, text as T
 from siftwatch.functions.vectors import as_double, euclidean
+from siftwatch.operators.simjoin import extended
 from siftwatch.operators.skew import lookup_join
 
 K = 10
@@ -68,7 +69,6 @@ def assign_clusters(df: DataFrame, centers, vector: str = "embedding", name: str
     if centers is None or not len(centers):
         raise ValueError("assign_clusters needs fitted centers")
     c = np.asarray(centers, dtype=np.float64)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,7 +80,7 @@ def assign_clusters(df: DataFrame, centers, vector: str = "embedding", name: str
                 names=[*batch.schema.names, name, "distance"],
             )
 
-    return df.mapInArrow(nearest, f"{schema}, {name} int, distance double")
+    return df.mapInArrow(nearest, extended(df, f"{name} int, distance double"))
 
 
 def cluster_centers(df: DataFrame, vector: str = "embedding", cluster: str = "cluster") -> DataFrame:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from siftwatch.functions import arrays
 from siftwatch.staging import stage
@@ -31,6 +32,11 @@ MAX_BROADCAST_VALUES = 8_000_000
 PAIR_SCHEMA = "i bigint, j bigint, sim double"
 
 
+def extended(df: DataFrame, added: str) -> StructType:
+    """The schema of ``df`` with further columns, for tasks that pass their input through."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
 def unit_vectors(df: DataFrame, vector: str = "embedding", key: str = "row_id") -> DataFrame:
     """``(row_id, unit, self_sim)`` with every vector divided by (its norm + 1e-8)."""
 
@@ -64,7 +70,7 @@ def _regions(units: DataFrame, threshold: float, n_pivots: int, block_rows: int)
     ring = theta / RINGS_PER_THETA
     per_pivot = int(math.pi / ring) + 2
     extra = [f for f in units.schema.fields if f.name not in ("row_id", "unit")]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema.fields)
+    schema = extended(units, "region int, angles array<double>")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +83,7 @@ def _regions(units: DataFrame, threshold: float, n_pivots: int, block_rows: int)
                 names=[*batch.schema.names, "region", "angles"],
             )
 
-    placed = stage(units.mapInArrow(place, f"{schema}, region int, angles array<double>"))
+    placed = stage(units.mapInArrow(place, schema))
     boxes = (
         placed.select("region", F.posexplode("angles").alias("p", "angle"))
         .groupBy("region", "p")
@@ -248,7 +254,6 @@ def _nearest_broadcast(rows: DataFrame, refs: DataFrame, vector: str) -> DataFra
     table = refs.orderBy("idx").toArrow()
     idx = table.column("idx").to_numpy().astype(np.int32)
     unit = arrays.unit_rows(arrays.matrix(table.column("v"))).T
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +264,7 @@ def _nearest_broadcast(rows: DataFrame, refs: DataFrame, vector: str) -> DataFra
                 names=[*batch.schema.names, "similarity_score", "most_similar_idx"],
             )
 
-    return rows.mapInArrow(best, f"{schema}, similarity_score double, most_similar_idx int")
+    return rows.mapInArrow(best, extended(rows, "similarity_score double, most_similar_idx int"))
 
 
 def _nearest_tiled(rows: DataFrame, refs: DataFrame, vector: str, block_rows: int) -> DataFrame:

@@ -55,7 +55,7 @@ def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> Data
     rank[np.lexsort((np.arange(dim), idf.df))] = np.arange(dim)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.bounded(batches, 1):
             n = batch.num_rows
             row, idx = arrays.ragged(batch.column(1))
             _, tf = arrays.ragged(batch.column(2))
@@ -110,7 +110,7 @@ def verify(candidates: DataFrame, units: DataFrame, threshold: float, n: int) ->
     both = salted_join(both, second, "j", spread="i", most_per_key=n)
 
     def dots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.bounded(batches, "ii", "ij"):
             row_a, idx_a = arrays.ragged(batch.column("ii"))
             row_b, idx_b = arrays.ragged(batch.column("ij"))
             _, val_a = arrays.ragged(batch.column("vi"))

@@ -42,7 +42,7 @@ def term_counts(df: DataFrame, text: str = "description", width: int = WIDE) ->
     """``(row_id, idx, tf)``: distinct buckets in ascending order with their counts; blank text has none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.bounded(batches, 1):
             row, bucket = arrays.ragged(batch.column(1))
             key, n = np.unique(row * width + bucket, return_counts=True)
             lengths = np.bincount(key // width, minlength=batch.num_rows)
@@ -95,7 +95,7 @@ def dense_vectors(terms: DataFrame, idf: Idf, name: str = "embedding") -> DataFr
     dim, weights = idf.dim, idf.weights
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.bounded(batches, 1):
             row, bucket = arrays.ragged(batch.column(1))
             _, tf = arrays.ragged(batch.column(2))
             bucket = bucket % dim

@@ -88,6 +88,22 @@ def test_leader_rounds_decide_near_copies_without_pairs(spark):
     assert done.entries.count() == 0
 
 
+def test_long_batches_are_cut_by_elements():
+    import pyarrow as pa
+
+    from siftwatch.functions import arrays
+
+    lists = pa.array([[1, 2], [], [3], [4, 5, 6, 7], [8], []], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), lists], names=["row_id", "b"])
+    parts = list(arrays.bounded([batch, batch.slice(0, 0)], "b", most=3))
+    assert pa.Table.from_batches(parts).to_pydict() == pa.Table.from_batches([batch]).to_pydict()
+    assert len([p for p in parts if p.num_rows]) > 1
+    for p in parts:
+        row, flat = arrays.ragged(p.column(1))
+        assert flat.tolist() == [x for one in p.column(1).to_pylist() for x in one]
+        assert len(row) == len(flat)
+
+
 def test_dense_vectors(spark):
     texts = ["Alpha beta, beta", "gamma_1 Überfall", None, "  "]
     terms = stage(vectorize.term_counts(table(spark, texts)))
