@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siftwatch.functions.bands import clean_score
+from siftwatch.staging import stage
 
 BINS = 4096
 # Once this few distinct values are left around the middle, they are ranked directly.
@@ -56,11 +57,13 @@ def exact_median(df: DataFrame, column: str = "risk_score") -> float | None:
 def score_distribution(df: DataFrame, column: str = "risk_score", approximate: bool = False) -> DataFrame:
     """Mean, median, sample standard deviation, smallest and largest value, as one row.
 
-    ``approximate`` takes the median from a sketch in the same pass instead of the exact narrowing passes.
+    ``approximate`` takes the median from a sketch in the same pass instead of the exact narrowing passes, which
+    work on the written score column alone.
     """
-    c = clean_score(F.col(column).cast("double"))
-    scores = df.select(c.alias("s"))
-    median = F.percentile_approx("s", 0.5) if approximate else F.lit(exact_median(df, column)).cast("double")
+    scores = df.select(clean_score(F.col(column).cast("double")).alias("s"))
+    if not approximate:
+        scores = stage(scores)
+    median = F.percentile_approx("s", 0.5) if approximate else F.lit(exact_median(scores, "s")).cast("double")
     stats = scores.agg(
         F.avg("s").alias("mean_score"),
         *([median.alias("median_score")] if approximate else []),
