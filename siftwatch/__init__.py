@@ -1,8 +1,5 @@
-"""Triage of large report collections as Spark DataFrame operators."""
+"""Triage of large report collections as Spark DataFrame operators.
 
-import sys
-
-from pyspark import cloudpickle
-
-# Task functions travel with their code, so executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+Task functions are pickled by reference, so that what a Python worker loads once serves all its tasks: on a cluster,
+executors need this package on their path (installed, or shipped with ``--py-files``).
+"""
