@@ -518,7 +518,7 @@ def pipeline_run(spark, sf):
     )
 
 
-QUERIES["pipeline"] = QUERIES.pop("pipeline_run")
+QUERIES["triage_pipeline"] = QUERIES.pop("pipeline_run")
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------
