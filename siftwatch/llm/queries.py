@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwatch.llm import token_records
+from siftwatch.llm import byte_pairs, contamination, token_records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +27,20 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of the benchmark items, by a suffix automaton of the items."""
+    return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the multilingual ranks, and the bytes that they decode to."""
+    return byte_pairs.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op3_contamination": op3_contamination,
+    "op8_byte_pairs": op8_byte_pairs,
 }
 
 ORACLE: dict[str, str] = {}
