@@ -6,15 +6,28 @@ from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, token_records
+from siftwatch.llm import byte_pairs, contamination, ring, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record in whole-file gzip streams, normalised to a member per record and read back."""
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    return warc.round_trip(pages).select(
+        F.col("id").cast(kind).alias("page_id"),
+        F.col("bytes").alias("payload_bytes"),
+        F.col("sha1").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("refers_to").cast(kind).alias("refers_to"),
+    )
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document as checked binary records, written in ascending doc_id order and read back."""
 
@@ -32,15 +45,37 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on 16 shards of a ring with bounded loads, row counts at most one apart."""
+    return ring.placed(table(spark, sf_dir, "documents"), 16)
+
+
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the multilingual ranks, and the bytes that they decode to."""
     return byte_pairs.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_records": op2_token_records,
     "op3_contamination": op3_contamination,
     "op8_byte_pairs": op8_byte_pairs,
+    "op9_ring": op9_ring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(coalesce(octet_length(encode(html)), 0) AS BIGINT) AS payload_bytes,
+                sha1(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), g AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS original
+            FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN original <> page_id THEN original END AS refers_to
+        FROM g
+    """,
+}
