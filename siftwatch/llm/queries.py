@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, ring, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, language_id, ring, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,18 @@ def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    return language_id.held_out_predictions(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_records": op2_token_records,
     "op3_contamination": op3_contamination,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_ring": op9_ring,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
