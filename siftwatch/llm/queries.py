@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, language_id, ring, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, language_id, ring, rule_forest, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of every document, and the verdict of base rules and isolation forest."""
+    return rule_forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on 16 shards of a ring with bounded loads, row counts at most one apart."""
     return ring.placed(table(spark, sf_dir, "documents"), 16)
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_records": op2_token_records,
     "op3_contamination": op3_contamination,
+    "op7_rule_forest": op7_rule_forest,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_ring": op9_ring,
     "op10_language_id": op10_language_id,
