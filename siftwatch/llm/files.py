@@ -19,6 +19,11 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def exists(path: str) -> bool:
+    store, place = opened(path)
+    return store.get_file_info(place).type != fs.FileType.NotFound
+
+
 @contextmanager
 def writing(path: str):
     """A stream whose bytes appear under ``path`` only once the block ends without an error."""
