@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, kneser_ney, language_id, ring, rule_forest, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, jaccard, kneser_ney, language_id, ring, rule_forest, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles are nine tenths alike."""
+    return jaccard.grouped(table(spark, sf_dir, "documents"))
+
+
 def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every document under a model of trusted text, and the verdict of its language's threshold."""
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_records": op2_token_records,
     "op3_contamination": op3_contamination,
+    "op4_jaccard": op4_jaccard,
     "op5_kneser_ney": op5_kneser_ney,
     "op7_rule_forest": op7_rule_forest,
     "op8_byte_pairs": op8_byte_pairs,
