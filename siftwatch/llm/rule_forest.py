@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import utf8
+from siftwatch.llm.texts import by_bytes, utf8
 from siftwatch.staging import stage
 
 TREES, TREE_ROWS, SEED = 128, 256, 1
@@ -72,16 +72,27 @@ def counts_of(text: bytes) -> tuple[int, ...]:
     )
 
 
+def counted(texts: list[bytes]) -> np.ndarray:
+    return np.array([counts_of(t) for t in texts], np.int64).reshape(-1, len(COUNTS + MORE))
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    """The features: shares that do not depend on a text's length."""
+    by_name = dict(zip(COUNTS + MORE, counts.T.astype(float)))
+    words, chars = (np.maximum(by_name[c], 1) for c in ("n_words", "word_chars"))
+    return np.stack([by_name["n_symbols"] / chars, by_name["n_capitals"] / chars, by_name["n_marks"] / chars, by_name["word_chars"] / words], axis=1)
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id and all counts of every text; no shuffle."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS + MORE)])
+    """The id, all counts and all features of every text; no shuffle."""
+    kinds = {c: T.LongType() for c in COUNTS + MORE} | {c: T.DoubleType() for c in FEATURES}
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, t) for c, t in kinds.items())])
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                b = batch.slice(i, 512)
-                rows = np.array([counts_of(t) for t in utf8(b.column(1))], np.int64).reshape(-1, len(COUNTS + MORE))
-                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, rows.T.copy())], names=schema.names)
+            for b in by_bytes(batch, 1):
+                counts = counted(utf8(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, counts.T.copy()), *map(pa.array, shares(counts).T.copy())], names=schema.names)
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
@@ -90,18 +101,6 @@ def base_failed() -> F.Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED)
 
 
-def features(stats: DataFrame) -> DataFrame:
-    """Shares that do not depend on a text's length, added to its counts."""
-    words, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "word_chars"))
-    shares = {
-        "symbols": F.col("n_symbols") / chars,
-        "capitals": F.col("n_capitals") / chars,
-        "marks": F.col("n_marks") / chars,
-        "word_length": F.col("word_chars") / words,
-    }
-    return stats.withColumns(shares)
-
-
 def usual_depth(n) -> np.ndarray:
     """Mean depth of an unsuccessful search in a random tree of n rows."""
     n = np.maximum(np.asarray(n, float), 1)
@@ -155,7 +154,7 @@ class Forest:
 
 
 def grow(stats: DataFrame, id_col: str = "doc_id", trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
-    """A forest on the rows of ``stats`` (with features) with the lowest hashed ids, ``trees * tree_rows`` at most."""
+    """A forest on the rows of ``stats`` with the lowest hashed ids, ``trees * tree_rows`` at most."""
     order = [F.xxhash64(id_col, F.lit("forest")), F.col(id_col), *(F.col(c) for c in FEATURES)]
     sample = stats.orderBy(*order).select(*FEATURES).limit(trees * tree_rows).toPandas()
     return Forest(sample.to_numpy(float), trees, tree_rows)
@@ -188,13 +187,32 @@ def threshold(scored: DataFrame, labels: DataFrame, max_loss: float = MAX_LOSS,
     return float((np.argmax(gain) + 1) / BINS)
 
 
+def fit(stats: DataFrame, labels: DataFrame) -> tuple[Forest, float]:
+    """The forest and its threshold, from statistics with ``base_failed``."""
+    passed = stats.where("NOT base_failed")
+    forest = grow(passed)
+    return forest, threshold(score(passed, forest), labels)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base rules, anomaly and verdict of every document."""
-    stats = stage(features(statistics(docs)).withColumn("base_failed", base_failed()))
-    passed = stats.where("NOT base_failed")
-    scored = stage(score(stats, grow(passed)))
-    limit = threshold(scored.where("NOT base_failed"), labels)
+    stats = stage(statistics(docs).withColumn("base_failed", base_failed()))
+    forest, limit = fit(stats, labels)
     kept = ~F.col("base_failed") & (F.col("anomaly") <= limit)
-    return scored.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "anomaly", F.lit(limit).alias("threshold"))
+    return score(stats, forest).select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "anomaly", F.lit(limit).alias("threshold"))
+
 
+def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that base rules or forest reject. Each row is judged by its own text, in place."""
+    forest, limit = fit(stage(statistics(docs).withColumn("base_failed", base_failed())), labels)
+    sent, at, schema = docs.sparkSession.sparkContext.broadcast(forest), docs.columns.index(text_col), docs.schema
+    n_words, n_repeated = COUNTS.index("n_words"), COUNTS.index("n_repeat_words")
+
+    def run(batches):
+        for batch in batches:
+            for b in by_bytes(batch, at):
+                counts = counted(utf8(b.column(at)))
+                failed = (counts[:, n_words] < MIN_WORDS) | (counts[:, n_repeated] * 100 > counts[:, n_words] * MAX_REPEATED)
+                yield b.filter(pa.array(~failed & (sent.value.scores(shares(counts)) <= limit)))
 
+    return docs.mapInArrow(run, schema)
