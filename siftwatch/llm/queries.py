@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, jaccard, kneser_ney, language_id, ring, rule_forest, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, ring, rule_forest, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,11 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a recurrent model of nine tenths of them, and under their word counts."""
+    return gru_lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_rule_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts of every document, and the verdict of base rules and isolation forest."""
     return rule_forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_contamination": op3_contamination,
     "op4_jaccard": op4_jaccard,
     "op5_kneser_ney": op5_kneser_ney,
+    "op6_gru_lm": op6_gru_lm,
     "op7_rule_forest": op7_rule_forest,
     "op8_byte_pairs": op8_byte_pairs,
     "op9_ring": op9_ring,
