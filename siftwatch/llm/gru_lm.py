@@ -309,27 +309,20 @@ def trained(texts: DataFrame, network: Gru, sent, rounds: int = ROUNDS) -> Gru:
             queues = [[] for _ in range(LANES)]
             sizes, state = np.zeros(LANES, np.int64), np.zeros((LANES, HIDDEN), np.float32)
 
-            def windows(last):
-                """Windows while all lanes are full; at the end, those of the lanes that are left."""
+            def windows():
+                """Windows over all lanes while each holds one."""
                 nonlocal tokens, state
-                streams = [np.concatenate(q) if q else np.zeros((0, 3), np.int64) for q in queues]
+                streams = [np.concatenate(q) for q in queues]
                 used = 0
-                while True:
-                    left = sizes - used
-                    full = int((left >= WINDOW).sum())
-                    if full < LANES and not (last and full):
-                        break
-                    on = np.flatnonzero(left >= WINDOW)
-                    block = np.stack([streams[k][used : used + WINDOW] for k in on], axis=1)
-                    grads, moved = own.learn(block[:, :, 0], block[:, :, 1], block[:, :, 2].astype(bool), state[on])
-                    state[on] = moved
+                while used + WINDOW <= sizes.min():
+                    block = np.stack([s[used : used + WINDOW] for s in streams], axis=1)
+                    grads, state = own.learn(block[:, :, 0], block[:, :, 1], block[:, :, 2].astype(bool), state)
                     adam(grads)
                     tokens += block.shape[0] * block.shape[1]
                     used += WINDOW
                 for k, s in enumerate(streams):
                     queues[k] = [s[used:]]
-                    sizes[k] = max(0, len(s) - used)
-                return streams, used
+                    sizes[k] -= used
 
             for batch in batches:
                 for b in by_bytes(batch, 0, 2 << 20):
@@ -345,7 +338,7 @@ def trained(texts: DataFrame, network: Gru, sent, rounds: int = ROUNDS) -> Gru:
                             queues[k].append(rows)
                             sizes[k] += len(rows)
                     if sizes.min() >= WINDOW:
-                        windows(False)
+                        windows()
             # What is left in the lanes, end to end, fills lanes again until less than a window is over.
             rest = np.concatenate([r for q in queues for r in q]) if any(queues) else np.zeros((0, 3), np.int64)
             for width in (LANES, LANES // 8, 8, 1):
@@ -382,12 +375,13 @@ def averaged(results: DataFrame, old: dict) -> dict:
         return pa.table([pa.array([0], pa.int32()), pa.array([int(weight.sum())], pa.int64()), *sums], names=["task", "tokens", *names])
 
     rows = stage(results)
-    groups = max(1, int(rows.count() ** 0.5))
+    tasks = rows.count()
+    if not tasks:
+        return old
+    groups = int(tasks**0.5)
     kinds = rows.schema
     part = rows.withColumn("task", F.col("task") % groups).groupBy("task").applyInArrow(total, kinds)
     out = total(None, part.toArrow())
-    if not sum(out.column("tokens").to_pylist()):
-        return old
     return {k: np.array(out.column(k)[0].as_py(), np.float32).reshape(old[k].shape) for k in names}
 
 

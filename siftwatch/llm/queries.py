@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
     "op1_warc": """
         WITH p AS (
@@ -108,4 +110,55 @@ ORACLE: dict[str, str] = {
             CASE WHEN original <> page_id THEN original END AS refers_to
         FROM g
     """,
+    "op3_contamination": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark
+        ), starts AS (
+            SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+            FROM b WHERE len(w) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS k FROM starts
+        ), places AS (
+            SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+            FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size
+        ), runs AS (
+            SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS k FROM places
+        ), hits AS (
+            SELECT doc_id, i, size, item_id FROM runs JOIN windows USING (size, k)
+        ), marked AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+            CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+            sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+            coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+    "op4_jaccard": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM starts
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+            FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * common >= 90 * (x.n + y.n - common)
+        ), reach AS (
+            SELECT a, b FROM links
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
+        FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY ALL
+    """,
 }

@@ -31,12 +31,12 @@ def docs_of(spark, texts, lang="en"):
 def test_forward_sums_all_segmentations():
     number, most = {"▁a": 0, "b": 1, "▁ab": 2, "bb": 3, "▁abb": 4}, 4
     table = np.array([[0.1], [0.2], [0.3], [0.15], [0.05], [1e-7], [0.0]])
-    got = lid.Lattices(["abb"], number, most).forward(table.__getitem__)[-1][0, 0]
+    got = lid.Lattices(["abb"], number, most, lid.matcher(number)).forward(table.__getitem__)[-1][0, 0]
     seg = 0.1 * 0.2 * 0.2 + 0.1 * 0.15 + 0.3 * 0.2 + 0.05 + 1e-7 * 1e-7 * 0.2**2 + 1e-14 * 0.15 + 1e-21 * 0
     # "▁", "a" are unknown letters: ▁ a b b and ▁ a bb.
     assert got == pytest.approx(seg, rel=1e-9)
     total = np.zeros((7, 1))
-    lid.Lattices(["abb"], number, most).expected(table, np.array([0]), np.array([2]), total)
+    lid.Lattices(["abb"], number, most, lid.matcher(number)).expected(table, np.array([0]), np.array([2]), total)
     assert total[4, 0] == pytest.approx(2 * 0.05 / seg) and total[1, 0] == pytest.approx(2 * (0.1 * 0.04 * 2 + 0.06) / seg, rel=1e-6)
 
 
