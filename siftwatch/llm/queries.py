@@ -158,7 +158,8 @@ ORACLE: dict[str, str] = {
             UNION
             SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
         )
-        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
-        FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach ON a = doc_id GROUP BY ALL
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS component_id
+        FROM d LEFT JOIN sizes USING (doc_id)
+            LEFT JOIN (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a) USING (doc_id)
     """,
 }
