@@ -30,7 +30,9 @@ LONGEST = 30
 UNKNOWN = 1e-7
 SMOOTHING = 0.01
 #: Different words whose log-probabilities a task keeps.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
+#: Different words a task counts before it hands their counts on.
+HELD_WORDS = 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -44,27 +46,45 @@ def words_of(text: str | None) -> list[str]:
 
 
 @cache
-def pieces(path: str) -> tuple[dict[str, int], int]:
-    """Number of each ordinary piece, and the longest piece's length."""
+def pieces(path: str):
+    """Number of each ordinary piece, the longest piece's length, and a matcher of pieces."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
     plain = [model.id_to_piece(i) for i in range(model.vocab_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return {p: i for i, p in enumerate(plain)}, max(map(len, plain))
+    number = {p: i for i, p in enumerate(plain)}
+    return number, max(map(len, plain)), matcher(number)
+
+
+def matcher(number: dict[str, int]):
+    """An automaton that finds pieces; a match is its piece's number and length in one integer."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for piece, i in number.items():
+        found.add_word(piece, i << 8 | len(piece))
+    found.make_automaton()
+    return found
 
 
 class Lattices:
     """Words of equal length with the pieces between all their places: row len(pieces) is an unknown letter, the row
     after it no piece at all."""
 
-    def __init__(self, words: list[str], number: dict[str, int], most: int):
+    def __init__(self, words: list[str], number: dict[str, int], most: int, automaton):
         marked = [START + w for w in words]
         self.n = len(marked[0])
         self.edges = [(s, e) for e in range(1, self.n + 1) for s in range(max(0, e - most), e)]
-        get, one, none = number.get, len(number), len(number) + 1
-        spans = [(s, e, one if e - s == 1 else none) for s, e in self.edges]
-        flat = np.fromiter((get(w[s:e], other) for w in marked for s, e, other in spans), np.int32, len(marked) * len(spans))
-        self.piece = flat.reshape(len(marked), len(spans)).T
+        place = np.zeros((self.n + 1, self.n + 1), np.int64)
+        for k, (s, e) in enumerate(self.edges):
+            place[s, e] = k
+        default = [len(number) if e - s == 1 else len(number) + 1 for s, e in self.edges]
+        self.piece = np.repeat(np.array(default, np.int32)[:, None], len(words), axis=1)
+        # All pieces in all words, by one pass over the words in a row; no piece holds the line break between them.
+        found = np.fromiter((x for match in automaton.iter("\n".join(marked)) for x in match), np.int64).reshape(-1, 2)
+        last, piece, size = found[:, 0], found[:, 1] >> 8, found[:, 1] & 255
+        word, end = last // (self.n + 1), last % (self.n + 1) + 1
+        self.piece[place[end - size, end], word] = piece
 
     def forward(self, weights) -> np.ndarray:
         """Sums over the segmentations up to each place; ``weights(row of pieces)`` gives probabilities."""
@@ -116,7 +136,7 @@ def counted(labelled: DataFrame, languages: list[str]) -> DataFrame:
                 for lang, words in each.items():
                     for w, n in words.items():
                         held[w, lang] += n
-                if len(held) > MEMO_WORDS:
+                if len(held) > HELD_WORDS:
                     yield rows()
                     held.clear()
         yield rows()
@@ -130,7 +150,7 @@ def learn(labelled: DataFrame, path: str, rounds: int = ROUNDS, lang_col: str =
     languages = sorted(r.l for r in known.select("l").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    number, most = pieces(path)
+    number, _, _ = pieces(path)
     table = np.full((len(number) + 2, len(languages)), 1 / len(number))
     table[-2:] = [[UNKNOWN], [0]]
     if not languages:
@@ -140,12 +160,12 @@ def learn(labelled: DataFrame, path: str, rounds: int = ROUNDS, lang_col: str =
         sent = spark.sparkContext.broadcast(table)
 
         def run(batches):
-            number, most = pieces(path)
+            number, most, automaton = pieces(path)
             total = np.zeros(sent.value.shape)
             for b in batches:
                 words, lang, n = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy()
                 for rows in by_length(words):
-                    Lattices([words[k] for k in rows], number, most).expected(sent.value, lang[rows], n[rows], total)
+                    Lattices([words[k] for k in rows], number, most, automaton).expected(sent.value, lang[rows], n[rows], total)
             piece, lang = np.nonzero(total[: len(number)])
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(total[piece, lang])], names=["piece", "language", "n"])
 
@@ -161,13 +181,13 @@ class Scorer:
     """Log-probabilities of words under every language, kept for words seen before."""
 
     def __init__(self, path: str, table: np.ndarray):
-        self.number, self.most = pieces(path)
+        self.vocabulary = pieces(path)
         self.table, self.place, self.logs = table, {}, np.zeros((MEMO_WORDS, table.shape[1]))
 
     def words(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.table.shape[1]))
         for rows in by_length(words):
-            out[rows] = np.log(Lattices([words[k] for k in rows], self.number, self.most).forward(self.table.__getitem__)[-1])
+            out[rows] = np.log(Lattices([words[k] for k in rows], *self.vocabulary).forward(self.table.__getitem__)[-1])
         return out
 
     def texts(self, texts: list[str | None]) -> list[np.ndarray | None]:
