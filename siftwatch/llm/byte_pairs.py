@@ -13,13 +13,12 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import Memo, space_parts
+from siftwatch.llm.texts import Memo, by_bytes, by_parts, space_parts
 
 #: Parts of texts, and pairs of tokens, that a task keeps (twice that at most).
 MEMO_PARTS = 250_000
@@ -39,7 +38,7 @@ class BytePairs:
         # The library's \s is Unicode's white space, without the separators U+001C to U+001F.
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         # Words are parts of their own only where the pattern never joins two of them.
-        self.splits = space_parts if self._cuts_at_spaces() else lambda text: [text]
+        self.by_parts = self._cuts_at_spaces()
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.size_of = {rank: len(token) for token, rank in ranks.items()}
@@ -111,12 +110,10 @@ class BytePairs:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        parts = [self.splits(t) for t in texts]
-        known = self.memo.fill((p for ps in parts for p in ps), self._parts)
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        return by_parts(texts, self.memo, self._whole) if self.by_parts else self._whole(texts)
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        return [array("I", [i for p in self.pieces(part) for i in self.piece(p.encode())]).tobytes() for part in parts]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", [i for p in self.pieces(part) for i in self.piece(p.encode())]).tobytes() for part in texts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
@@ -127,19 +124,13 @@ def coder(path: str, pattern: str) -> BytePairs:
     return BytePairs(read_ranks(path), pattern)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and ``ids`` (binary, little-endian unsigned 32-bit) of every text; no shuffle."""
     schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.BinaryType())])
 
     def run(batches):
         own = coder(ranks, pattern)
-        for b in _slices(batches):
+        for b in (part for batch in batches for part in by_bytes(batch, 1)):
             ids = own.encode([t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=schema.names)
 
@@ -150,21 +141,28 @@ def decode(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """``encoded``, whose column ``ids`` holds ids as ``encode`` gives them, with their bytes as ``decoded``."""
     schema = T.StructType([*(f for f in encoded.schema if f.name != "decoded"), T.StructField("decoded", T.BinaryType())])
 
+    at = encoded.drop("decoded").columns.index("ids")
+
     def run(batches):
         own = coder(ranks, pattern)
-        for b in _slices(batches):
+        for b in (part for batch in batches for part in by_bytes(batch, at)):
             texts = [None if x is None else own.decode(x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=schema.names)
 
     return encoded.drop("decoded").mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids again, and digest both."""
+def encoded_with_digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """The ids of every text, decoded again, and digests of both."""
     both = decode(encode(docs, ranks, pattern), ranks, pattern)
     return both.select(
         "doc_id",
+        "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def digests(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    return encoded_with_digests(docs, ranks, pattern).drop("ids")

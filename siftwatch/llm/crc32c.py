@@ -19,8 +19,14 @@ def _byte_table() -> np.ndarray:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """What a byte at each place of a block adds to the block's remainder, and what a remainder becomes one block on."""
+def _byte_list() -> list[int]:
+    return _byte_table().tolist()
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """What a byte at each place of a block adds to the block's remainder, where a place's values start in that table,
+    and what a remainder becomes one block on."""
     table = _byte_table()
     places = np.empty((BLOCK, 256), np.uint32)
     places[-1] = table
@@ -30,25 +36,24 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     on = np.stack([np.arange(256, dtype=np.uint32) << np.uint32(8 * k) for k in range(4)])
     for _ in range(BLOCK):
         on = (on >> 8) ^ table[on & 0xFF]
-    return places.ravel(), on
+    return places.ravel(), np.arange(0, BLOCK * 256, 256, dtype=np.intp), on.tolist()
 
 
 def crc32c(data: bytes) -> int:
     n = len(data)
-    if n < 4:
-        crc, table = 0xFFFFFFFF, _byte_table()
+    if n < 32:
+        crc, table = 0xFFFFFFFF, _byte_list()
         for b in data:
-            crc = (crc >> 8) ^ int(table[(crc ^ b) & 0xFF])
+            crc = crc >> 8 ^ table[(crc ^ b) & 0xFF]
         return crc ^ 0xFFFFFFFF
-    places, on = _tables()
+    places, steps, on = _tables()
     # The start value is the first four bytes inverted; zeros before them change nothing.
     rows = -(-n // BLOCK)
     padded = np.zeros(rows * BLOCK, np.uint8)
     padded[-n:] = np.frombuffer(data, np.uint8)
     padded[len(padded) - n : len(padded) - n + 4] ^= 0xFF
-    steps = np.arange(0, BLOCK * 256, 256, dtype=np.intp)
     each = np.bitwise_xor.reduce(places[padded.reshape(rows, BLOCK) + steps], axis=1).tolist()
-    a, b, c, d = (x.tolist() for x in on)
+    a, b, c, d = on
     crc = 0
     for x in each:
         crc = a[crc & 0xFF] ^ b[crc >> 8 & 0xFF] ^ c[crc >> 16 & 0xFF] ^ d[crc >> 24] ^ x

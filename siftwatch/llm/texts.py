@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -26,19 +28,30 @@ class Memo:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def fill(self, keys, compute) -> dict:
-        """A dict that holds all ``keys`` until the next call; ``compute(list of unknown keys)`` gives their values."""
+    def rows(self, rows: list[list], compute) -> list[list]:
+        """The values of all keys of all rows; ``compute(list of unknown keys)`` gives those not known."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        unknown = []
-        for key in set(keys) - self.young.keys():
-            if key in self.old:
-                self.young[key] = self.old[key]
-            else:
-                unknown.append(key)
-        if unknown:
-            self.young.update(zip(unknown, compute(unknown), strict=True))
-        return self.young
+        young, get = self.young, self.young.get
+        out = [list(map(get, row)) for row in rows]
+        gaps = [(values, row, [k for k, v in enumerate(values) if v is None]) for values, row in zip(out, rows) if None in values]
+        new = {row[k] for _, row, places in gaps for k in places}
+        again = new & self.old.keys()
+        young.update((key, self.old[key]) for key in again)
+        if unknown := list(new - again):
+            young.update(zip(unknown, compute(unknown), strict=True))
+        for values, row, places in gaps:
+            for k in places:
+                values[k] = young[row[k]]
+        return out
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """Slices of a batch whose texts hold about ``most`` bytes each."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(sizes // most, prepend=-1)).tolist()
+    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(start, end - start)
 
 
 def space_parts(text: str) -> list[str]:
@@ -54,3 +67,31 @@ def space_parts(text: str) -> list[str]:
         else:
             current += " " + part
     return [*parts, current]
+
+
+def by_parts(texts: list[str], memo: Memo, encode) -> list[bytes]:
+    """``encode(list of texts)`` of all texts, worked out once for equal parts: a text's code is its parts' codes
+    joined. The memo knows a part without the space before it; 0 marks one that white space joins to the next."""
+
+    def codes(parts):
+        sound = [p for p in parts if p and p.strip() == p]
+        known = dict(zip(sound, encode([" " + p for p in sound])))
+        return [known.get(p, 0) for p in parts]
+
+    rows = [t.split(" ") for t in texts]
+    heads = [r.pop(0) for r in rows]
+    out: list[bytes | None] = []
+    for head, row, values in zip(heads, rows, memo.rows(rows, codes)):
+        sound = (not row or head and not head[-1].isspace()) and 0 not in values
+        out.append(b"".join(values) if sound else None)
+    odd = {k: space_parts(texts[k]) for k, x in enumerate(out) if x is None}
+    if odd:
+        inner = memo.rows([[p[1:] for p in parts[1:-1]] for parts in odd.values()], codes)
+        ends = iter(encode([p for parts in odd.values() for p in (parts[0], *parts[1:][-1:])]))
+        for (k, parts), values in zip(odd.items(), inner):
+            code = next(ends) + b"".join(values)
+            out[k] = code + next(ends) if len(parts) > 1 else code
+    plain = [k for k in range(len(texts)) if k not in odd]
+    for k, code in zip(plain, encode([heads[k] for k in plain])):
+        out[k] = code + out[k]
+    return out

@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from siftwatch.llm import crc32c, files
-from siftwatch.llm.texts import Memo, space_parts
+from siftwatch.llm.texts import Memo, by_bytes, by_parts
 from siftwatch.staging import stage, stage_path
 
 #: Parts of texts whose ids a task keeps (twice that at most); about 200 bytes each.
-MEMO_PARTS = 300_000
+MEMO_PARTS = 250_000
 #: Parts that go to the tokenizer as one text.
 JOINED = 1_000
 
@@ -63,18 +63,14 @@ class Encoder:
         return json.loads(self.library.to_str()).get("pre_tokenizer") or {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_parts:
-            return self._whole(texts)
-        parts = [space_parts(t) for t in texts]
-        known = self.memo.fill((p for ps in parts for p in ps), self._parts)
-        return [b"".join(map(known.__getitem__, ps)) for ps in parts]
+        return by_parts(texts, self.memo, self._parts) if self.by_parts else self._whole(texts)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         out: dict[str, bytes] = {}
-        plain = [p for p in parts if p[:1] == " " and p[1:2].strip() and not p[-1].isspace()]
+        plain = [p for p in parts if p[:1] == " " and p.strip() == p[1:]]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
@@ -127,9 +123,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
         name = f"{folder}/part-{part:06d}.records"
         with files.writing(name) as out:
             for batch in batches:
-                ids, texts = batch.column("id"), batch.column("text")
-                for i in range(0, batch.num_rows, 256):
-                    encoded = [x + end for x in e.encode(texts.slice(i, 256).to_pylist())]
+                for rows in by_bytes(batch, 1):
+                    encoded = [x + end for x in e.encode(rows.column(1).to_pylist())]
                     records = [framed(x) for x in encoded]
                     out.write(b"".join(records))
                     lengths = np.array([len(r) for r in records])
@@ -137,7 +132,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, id_col:
                     offsets, befores = np.cumsum(lengths) - lengths + offset, np.cumsum(counts) - counts + before
                     offset, before, n = offset + int(lengths.sum()), before + int(counts.sum()), len(records)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(i, 256), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(offsets), pa.array(lengths), pa.array([e.dtype.itemsize] * n, pa.int32()), pa.array(counts), pa.array(befores)],
+                        [rows.column(0), pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(offsets), pa.array(lengths), pa.array([e.dtype.itemsize] * n, pa.int32()), pa.array(counts), pa.array(befores)],
                         names=schema.names,
                     )
 
