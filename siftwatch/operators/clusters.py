@@ -94,9 +94,10 @@ def cluster_centers(df: DataFrame, vector: str = "embedding", cluster: str = "cl
 
 
 def member_distances(df: DataFrame, centers: DataFrame, vector: str = "embedding", cluster: str = "cluster") -> DataFrame:
-    """Adds ``distance`` to the row's own center. ``centers``, one row per cluster id, is a written or literal table."""
+    """Adds ``distance`` to the row's own center, NULL without one. ``centers``, one row per cluster id, is a written or
+    literal table."""
     own = centers.select(F.col("cluster_id").alias(cluster), "center")
-    return lookup_join(df, own, cluster).withColumn("distance", euclidean(vector, "center")).drop("center")
+    return lookup_join(df, own, cluster, "left").withColumn("distance", euclidean(vector, "center")).drop("center")
 
 
 def cluster_spread(distances: DataFrame, k: int | None = None, cluster: str = "cluster") -> DataFrame:
@@ -127,12 +128,13 @@ def novelty_z(distance: Column, std_dev: Column) -> Column:
 
 
 def add_novelty(distances: DataFrame, spread: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """Adds ``novelty_z`` and ``novelty_score`` (the same, limited to 0..1). ``spread`` is a written table."""
+    """Adds ``novelty_z`` and ``novelty_score`` (the same, limited to 0..1). ``spread`` is a written table. A row
+    without a known cluster keeps its place, with novelty 0."""
     own = spread.select(F.col("cluster_id").alias(cluster), "std_dev")
     z = novelty_z(F.col("distance"), F.col("std_dev"))
     return (
-        lookup_join(distances, own, cluster)
-        .withColumn("novelty_z", z)
+        lookup_join(distances, own, cluster, "left")
+        .withColumn("novelty_z", F.coalesce(z, F.lit(0.0)))
         .withColumn("novelty_score", F.least(F.greatest(F.col("novelty_z"), F.lit(0.0)), F.lit(1.0)))
         .drop("std_dev")
     )

@@ -31,7 +31,7 @@ def threats(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e, l = (table(spark, sf_dir, t) for t in ("documents", "events", "labels"))
     return (
         tables.spread(d).join(l, "doc_id", "left")
-        .join(e.select(F.col("event_id").alias("doc_id"), "ts", "value"), "doc_id")
+        .join(e.select(F.col("event_id").alias("doc_id"), "ts", "value"), "doc_id", "left")
         .select(
             F.col("doc_id").alias("row_id"),
             F.col("doc_id").cast("string").alias("id"),
@@ -122,3 +122,11 @@ def pulse_pages(spark: SparkSession, sf_dir: str, per_page: int = 50) -> DataFra
     )
     landed = pages.select("page", F.to_json(F.struct("results")).alias("body"))
     return landed.select("page", F.from_json("body", PULSE_PAGE).alias("b")).select("page", "b.results")
+
+
+def land_pages(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The pages as landed JSON files, in folders ``page=N``, with an empty page among them."""
+    pages = pulse_pages(spark, sf_dir).select(F.col("page").cast("bigint"), F.to_json(F.struct("results")).alias("body"))
+    empty = spark.createDataFrame([(7_000_000, '{"results": []}')], "page bigint, body string")
+    pages.unionByName(empty).repartition("page").write.partitionBy("page").text(folder)
+    return folder

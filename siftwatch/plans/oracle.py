@@ -15,7 +15,7 @@ threats AS (
                    CASE WHEN l.quality = 0 THEN 'junk' END) AS tags,
          strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS created_date, e.ts AS created_ts, d.source, d.lang, d.n_chars, e.value,
          l.quality, l.toxic
-  FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+  FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 INCIDENTS = """
 incidents AS (
@@ -70,7 +70,7 @@ pulses AS (
          regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS description,
          lower(array_to_string(tags, ', ')) AS tags, lower(array_to_string(tags, ' ')) AS tag_text,
          '2024-01-01' AS created_date, source || ', ' || lang AS refs, coalesce(username, 'Unknown') AS author,
-         username, array_to_string(tags, '|') AS raw_tags, length(text) AS n_chars
+         username, text, array_to_string(tags, '|') AS raw_tags, length(text) AS n_chars
   FROM raw)"""
 RELEVANT = " OR ".join(
     f"contains(tag_text, '{t}')"
@@ -236,15 +236,15 @@ comp AS (
 
 ORACLE: dict[str, str] = {
     "scan_threats": f"WITH {THREATS} SELECT row_id, id, name, description, tags, created_date FROM threats",
-    "scan_scored": f"""WITH {SCORED} SELECT row_id, id, name, created_date, {SCORE4}, num_keywords_matched, cluster,
+    "scan_scored": f"""WITH {SCORED} SELECT row_id, id, name, created_date, description, tags, matched_keywords, {SCORE4}, num_keywords_matched, cluster,
   risk_category, strptime(created_date, '%Y-%m-%d %H:%M:%S') AS created_ts FROM scored""",
     "scan_cluster_stats": f"""WITH {PROFILE} SELECT cluster_id, size, percentage, nullif(top_tags, 'N/A') AS top_tags,
   nullif(sample_threats, '') AS sample_threats, std_dev FROM prof""",
-    "flatten_pulse_pages": f"""WITH {PULSES} SELECT page, pos, id, CAST(n_chars AS INTEGER) AS n_chars, raw_tags AS tags,
-  username FROM pulses""",
+    "flatten_pulse_pages": f"""WITH {PULSES} SELECT page, pos, id, text AS description, raw_tags AS tags, username
+  FROM pulses""",
     "normalise_pulses": f"""WITH {PULSES} SELECT id, name, description, tags, tag_text, created_date,
   refs AS "references", 'feed' AS source, author FROM pulses""",
-    "quality_filter": f"""WITH {PULSES} SELECT id, name, tags, author, CAST(length(description) AS INTEGER) AS n_chars
+    "quality_filter": f"""WITH {PULSES} SELECT id, name, description, tags, created_date, refs AS "references", 'feed' AS source, author
   FROM pulses WHERE {KEPT}""",
     "collection_summary": f"""WITH {PULSES} SELECT count(*) AS raw, count(*) FILTER ({KEPT}) AS kept,
   round((1 - count(*) FILTER ({KEPT})::DOUBLE / count(*)) * 100, 6) AS filter_rate,
@@ -256,7 +256,7 @@ ORACLE: dict[str, str] = {
   round(avg(length(description)), 6) AS mean_description_length FROM incidents""",
     "keyword_dim": f"""WITH dim(pos, category, keyword, severity) AS (VALUES {dim_values(kw.LISTS)}),
 hits AS (SELECT k.keyword, count(*) AS n FROM (SELECT DISTINCT keyword FROM dim) k
-         JOIN documents d ON contains(lower(d.text), k.keyword) JOIN events e ON e.event_id = d.doc_id GROUP BY 1)
+         JOIN documents d ON contains(lower(d.text), k.keyword) GROUP BY 1)
 SELECT pos, category, keyword, severity, coalesce(n, 0) AS n_rows FROM dim LEFT JOIN hits USING (keyword)""",
     "keyword_list_counts": f"""WITH dim(pos, category, keyword, severity) AS (VALUES {dim_values(fx.LISTS)})
 SELECT category, count(*) AS n_keywords,
@@ -336,7 +336,9 @@ SELECT row_id, cluster, round(d, 6) AS distance FROM near QUALIFY row_number() O
   coalesce(n, 0) AS size FROM range(12) LEFT JOIN spread ON cluster = range""",
     "inertia": f"WITH {VEC}, {centers()} SELECT round(sum(distance * distance), 6) AS inertia FROM dist",
     "novelty": f"""WITH {VEC}, {centers()}, nov AS (SELECT row_id, cluster, {NOVELTY_Z} AS z FROM dist JOIN spread USING (cluster))
-SELECT row_id, cluster, round(z, 6) AS novelty_z, round(least(greatest(z, 0), 1)::DOUBLE, 6) AS novelty_score FROM nov""",
+SELECT row_id, CASE WHEN row_id % 10 <> 3 THEN cluster END AS cluster,
+  CASE WHEN row_id % 10 <> 3 THEN round(z, 6) ELSE 0 END AS novelty_z,
+  CASE WHEN row_id % 10 <> 3 THEN round(least(greatest(z, 0), 1)::DOUBLE, 6) ELSE 0 END AS novelty_score FROM nov""",
     "nearest_incident": f"WITH {NEAREST} SELECT row_id, round(similarity_score, 6) AS similarity_score, most_similar_idx FROM best",
     "similarity_score": f"WITH {NEAREST} SELECT row_id, round(similarity_score, 6) AS similarity_score FROM best",
     "keyword_match": f"WITH {SCORED} SELECT row_id, matched_keywords FROM scored",

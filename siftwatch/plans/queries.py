@@ -46,7 +46,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 THREAT_FILE = "row_id bigint, id string, name string, description string, tags string, created_date string"
 SCORED_FILE = (
-    "row_id bigint, id string, name string, created_date string, risk_score double, similarity_score double, "
+    "row_id bigint, id string, name string, description string, tags string, created_date string, risk_score double, similarity_score double, "
     "keyword_score double, novelty_score double, matched_keywords string, num_keywords_matched int, cluster int"
 )
 
@@ -64,7 +64,7 @@ def scan_scored(spark, sf):
     path = stage_path(spark)
     tables.write_scored(fx.scored(spark, sf).select(*[f.split()[0] for f in SCORED_FILE.split(", ")]), path)
     scored = tables.scan_scored(spark, path, schema=SCORED_FILE)
-    return rounded(scored.drop("matched_keywords"), "risk_score", "similarity_score", "keyword_score", "novelty_score")
+    return rounded(scored, "risk_score", "similarity_score", "keyword_score", "novelty_score")
 
 
 @query
@@ -76,12 +76,13 @@ def scan_cluster_stats(spark, sf):
 
 @query
 def flatten_pulse_pages(spark, sf):
-    flat = pulses.flatten_pulse_pages(fx.pulse_pages(spark, sf))
+    """Pages landed as JSON files, one of them empty, and read back."""
+    flat = pulses.flatten_pulse_pages(pulses.read_pulse_pages(spark, fx.land_pages(spark, sf, stage_path(spark))))
     return flat.select(
         "page",
         F.col("pos").cast("bigint").alias("pos"),
         "id",
-        F.length("description").alias("n_chars"),
+        "description",
         F.array_join("tags", "|").alias("tags"),
         F.col("author.username").alias("username"),
     )
@@ -96,7 +97,7 @@ def normalise_pulses(spark, sf):
 @query
 def quality_filter(spark, sf):
     flat = pulses.normalise_pulses(pulses.flatten_pulse_pages(fx.pulse_pages(spark, sf)))
-    return pulses.quality_filter(flat).select("id", "name", "tags", "author", F.length("description").alias("n_chars"))
+    return pulses.quality_filter(flat).drop("page", "pos")
 
 
 @query
@@ -152,7 +153,7 @@ def keyword_list_counts(spark, sf):
 
 @query
 def keyword_severity(spark, sf):
-    """Severity of every word of every document name, counted."""
+    """Severity of every word of every document text, counted."""
     words = fx.threats(spark, sf).select(F.explode(F.split("description", r"[^\p{L}\p{N}_]+")).alias("word"))
     counted = words.where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
     return kw.keyword_severity(counted, "word", kw.keyword_dim(spark, fx.LISTS))
@@ -388,8 +389,10 @@ def inertia(spark, sf):
 def novelty(spark, sf):
     d = _distances(spark, sf)
     spread = stage(clusters.cluster_spread(d))
+    # Every tenth row has lost its cluster by now, and stays.
+    known = d.withColumn("cluster", F.when(F.col("row_id") % 10 != 3, F.col("cluster")))
     return rounded(
-        clusters.add_novelty(d, spread).select("row_id", "cluster", "novelty_z", "novelty_score"),
+        clusters.add_novelty(known, spread).select("row_id", "cluster", "novelty_z", "novelty_score"),
         "novelty_z",
         "novelty_score",
     )

@@ -18,25 +18,34 @@ MIN_DESCRIPTION_LENGTH = 100
 
 
 def read_pulse_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON pages, one per file, numbered by file name: ``(page, results)``."""
+    """Landed JSON pages, one per file: ``(page, file, results)``.
+
+    A page's number is that of its ``page=N`` folder, or else the last number in its file name; a file with neither is
+    an error. Files of equal number in different folders are pages of their own, in the order of their paths.
+    """
     pages = spark.read.schema(PULSE_PAGE).option("multiLine", True).json(path)
-    return pages.select(F.col("_metadata.file_name").alias("page"), "results")
+    file, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    folder, last = F.regexp_extract(file, r"/page=(\d+)/", 1), F.regexp_extract(name, r"(\d+)\D*$", 1)
+    none = F.raise_error(F.concat(F.lit("no page number in "), file))
+    number = F.when(folder != "", folder).when(last != "", last).otherwise(none)
+    return pages.select(number.cast("bigint").alias("page"), file.alias("file"), "results")
 
 
-def flatten_pulse_pages(pages: DataFrame, max_pulses: int | None = None) -> DataFrame:
-    """Pages ``(page, results)`` to one row per pulse, in page order.
+def flatten_pulse_pages(pages: DataFrame, max_pulses: int | None = None, end_at_empty: bool = False) -> DataFrame:
+    """Pages ``(page, results)``, perhaps with ``file``, to one row per pulse, in page order.
 
-    An empty page ends the feed: it and everything after it is not read. ``max_pulses`` keeps the first ones.
+    ``end_at_empty`` treats the pages as a live feed, which an empty page ends: it and everything after it is not
+    read. Landed pages are all read. ``max_pulses`` keeps the first ones.
     """
-    empty = pages.where(F.coalesce(F.size("results"), F.lit(0)) <= 0)
-    # As a struct the answer is never NULL and both uses share one subquery.
-    first_empty = empty.agg(F.struct(F.min("page").alias("page")).alias("first")).scalar()["page"]
-    pulses = (
-        pages.where(F.coalesce(F.col("page") < first_empty, first_empty.isNull()))
-        .select("page", F.posexplode("results").alias("pos", "pulse"))
-        .select("page", "pos", "pulse.*")
-    )
-    return pulses.orderBy("page", "pos").limit(max_pulses) if max_pulses is not None else pulses
+    order = [c for c in ("page", "file") if c in pages.columns]
+    if end_at_empty:
+        empty = pages.where(F.coalesce(F.size("results"), F.lit(0)) <= 0)
+        # As a struct the answer is never NULL and both uses share one subquery.
+        first_empty = empty.agg(F.struct(F.min("page").alias("page")).alias("first")).scalar()["page"]
+        pages = pages.where(F.coalesce(F.col("page") < first_empty, first_empty.isNull()))
+    pulses = pages.select(*order, F.posexplode("results").alias("pos", "pulse")).select(*order, "pos", "pulse.*")
+    first = pulses.orderBy(*order, "pos").limit(max_pulses) if max_pulses is not None else pulses
+    return first.drop("file")
 
 
 def normalise_pulses(pulses: DataFrame, source: str = "feed") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from siftwatch.functions.bands import parse_timestamp, risk_band
 from siftwatch.sources import schemas
+from siftwatch.staging import stage
 
 # Quotes and line breaks inside a text are kept, and blanks at its ends are data.
 CSV_OPTIONS = {
@@ -19,11 +21,40 @@ CSV_OPTIONS = {
 
 
 def scan(spark: SparkSession, path: str, schema: str, fmt: str = "parquet", **options) -> DataFrame:
-    """A typed scan; a missing path is an error."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.options(**{**CSV_OPTIONS, **options})
-    return reader.format(fmt).load(path)
+    """A typed scan; a missing path is an error, and so is a missing column.
+
+    Columns are found by name. CSV is read by its header and in strict mode; a file without ``row_id`` gets one from
+    its rows' places, as such files are kept in order.
+    """
+    reader = spark.read.options(**{**(CSV_OPTIONS if fmt == "csv" else {}), **options}).format(fmt)
+    there = reader.load(path)
+    wanted = [(f.name, f.dataType) for f in StructType.fromDDL(schema)]
+    absent = [n for n, _ in wanted if n not in there.columns and n != "row_id"]
+    if absent:
+        raise ValueError(f"{path} lacks {', '.join(absent)}")
+    if fmt != "csv":
+        numbered = there if "row_id" in there.columns or "row_id" not in dict(wanted) else with_row_id(there)
+        return numbered.select(*(F.col(n).cast(t).alias(n) for n, t in wanted))
+    types = dict(wanted)
+    strict = ", ".join(f"`{c}` {types[c].simpleString() if c in types else 'string'}" for c in there.columns)
+    rows = reader.schema(strict).option("mode", "FAILFAST").option("enforceSchema", False).load(path)
+    if "row_id" in types and "row_id" not in there.columns:
+        rows = with_row_id(rows)
+    return rows.select(*(n for n, _ in wanted))
+
+
+def with_row_id(rows: DataFrame) -> DataFrame:
+    """``row_id`` by place: file by file in the order of their paths, line by line. The rows are written once, so that
+    the numbers stay."""
+    spot = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    placed = stage(rows.select("*", spot.alias("_spot")))
+    files = placed.groupBy("_spot.file").agg(F.count(F.lit(1)).alias("n"), F.min("_spot.line").alias("first"))
+    # One row per file, summed in one task.
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", (F.coalesce(F.sum("n").over(ahead), F.lit(0))).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_spot.file").orderBy("_spot.line")) - 1
+    numbered = placed.withColumn("_line", inside).withColumn("file", F.col("_spot.file")).join(starts, "file")
+    return numbered.withColumn("row_id", (F.col("_start") + F.col("_line")).cast("bigint")).drop("_spot", "_line", "_start", "file")
 
 
 def spread(scanned: DataFrame) -> DataFrame:
@@ -49,9 +80,9 @@ def dashboard_view(scored: DataFrame) -> DataFrame:
 
 
 def scan_cluster_stats(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Cluster profiles; the written placeholder for "no tags" reads back as NULL."""
+    """Cluster profiles; the written placeholder for "no tags", and empty samples, read back as NULL in any format."""
     stats = scan(spark, path, schemas.CLUSTER_STATS, fmt)
-    return stats.withColumn("top_tags", F.nullif(F.col("top_tags"), F.lit("N/A")))
+    return stats.withColumns({"top_tags": F.nullif(F.col("top_tags"), F.lit("N/A")), "sample_threats": F.nullif(F.col("sample_threats"), F.lit(""))})
 
 
 def write(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = (), mode="overwrite"):
@@ -69,11 +100,10 @@ def write_threats(threats: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_duplicate_report(report: DataFrame, path: str, fmt: str = "parquet") -> bool:
-    """Written only when there is something to report."""
-    if report.isEmpty():
-        return False
-    write(report, path, fmt)
-    return True
+    """Replaces the last run's report, by an empty one if there is nothing to report; says whether there is."""
+    spark = report.sparkSession
+    write(typed(report, schemas.DUPLICATE_REPORT), path, fmt)
+    return not scan(spark, path, schemas.DUPLICATE_REPORT, fmt).isEmpty()
 
 
 def write_cluster_stats(stats: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -92,5 +122,11 @@ def write_vectors(vectors: DataFrame, path: str) -> None:
     write(vectors, path)
 
 
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)))
+
+
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    write(metrics, path, mode="append")
+    """Adds a run's metrics to those of other runs; a repeated run replaces its own."""
+    writer = typed(metrics, schemas.METRICS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_id").parquet(path)
