@@ -67,13 +67,17 @@ def score_threats(
     text: str = "description",
     ordered: bool = True,
 ) -> DataFrame:
-    """Rows with vector and cluster get all score columns and are ranked.
+    """Rows with vector and cluster get all score columns and are ranked: ``row_id``, cluster and the scores.
 
-    ``incidents`` carries ``idx`` and vectors; ``centers`` and ``spread`` have one row per cluster.
+    ``incidents`` carries ``idx`` and vectors; ``centers`` and ``spread`` have one row per cluster. Keywords are found
+    where the text is read; from there on only keys, scores and the vector move, and only keys and scores are sorted.
+    Join the ranked rows to their texts by ``row_id`` for what is shown.
     """
-    scored = add_keyword_score(df, keywords, text)
-    scored = clusters.add_novelty(clusters.member_distances(scored, centers, vector), spread)
-    scored = simjoin.nearest_reference(scored, incidents, vector)
+    slim = add_keyword_score(df, keywords, text).select(
+        "row_id", "cluster", "matched_keywords", "num_keywords_matched", "keyword_score", vector
+    )
+    scored = clusters.add_novelty(clusters.member_distances(slim, centers, vector), spread).drop("distance")
+    scored = simjoin.nearest_reference(scored, incidents, vector).drop(vector)
     scored = scored.withColumn("risk_score", risk_score(weights))
     return rank_threats(scored) if ordered else scored
 

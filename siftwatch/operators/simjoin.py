@@ -12,22 +12,24 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from siftwatch.functions import arrays
-from siftwatch.staging import stage
+from siftwatch.staging import stage, stage_path
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 32
 RINGS_PER_THETA = 4
 # Room for rounding in the angle bounds; only ever lets more tiles through.
 ANGLE_SLACK = 1e-6
-# Reference vectors up to this many values travel to every task; more are joined as tiles.
-MAX_BROADCAST_VALUES = 8_000_000
+# Numbers in one block of reference vectors.
+REFERENCE_VALUES = 4_000_000
 
 PAIR_SCHEMA = "i bigint, j bigint, sim double"
 
@@ -232,77 +234,52 @@ def nearest_reference(
     references: DataFrame,
     vector: str = "embedding",
     reference_vector: str = "embedding",
-    max_values: int = MAX_BROADCAST_VALUES,
-    block_rows: int = BLOCK_ROWS,
+    block_values: int = REFERENCE_VALUES,
 ) -> DataFrame:
-    """Adds ``similarity_score`` and ``most_similar_idx``: the best cosine over all ``references`` (keyed by ``idx``);
-    the lowest index wins ties.
+    """Adds ``similarity_score`` and ``most_similar_idx``: the best cosine over all ``references`` (keyed by ``idx``),
+    in the first place by the cosine to twelve digits, then the lowest index.
 
-    References that fit ``max_values`` numbers go to every task and the job is narrow. More than that are joined
-    as tiles of row block x reference block, followed by a maximum per row.
+    The references are written as blocks of about ``block_values`` numbers. Every task reads them one after the other
+    and keeps its rows' best: rows never move, and a task holds one block and a bounded piece of products, whatever
+    the number of references. Columns of ``rows`` pass through the task, so give it only those needed.
     """
+    spark = rows.sparkSession
     refs = references.select("idx", F.col(reference_vector).cast("array<double>").alias("v"))
     shape = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
     if shape.n == 0:
         raise ValueError("nearest_reference needs at least one reference row")
-    if shape.n * shape.d <= max_values:
-        return _nearest_broadcast(rows, refs, vector)
-    return _nearest_tiled(rows, refs, vector, block_rows)
-
-
-def _nearest_broadcast(rows: DataFrame, refs: DataFrame, vector: str) -> DataFrame:
-    table = refs.orderBy("idx").toArrow()
-    idx = table.column("idx").to_numpy().astype(np.int32)
-    unit = arrays.unit_rows(arrays.matrix(table.column("v"))).T
+    blocks = max(1, math.ceil(shape.n * shape.d / block_values))
+    folder = stage_path(spark)
+    dealt = refs.withColumn("block", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int"))
+    dealt.repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    there = sorted(r.block for r in spark.read.parquet(folder).select("block").distinct().collect())
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = arrays.unit_rows(arrays.matrix(batch.column(vector))) @ unit if batch.num_rows else np.zeros((0, 1))
-            at = sims.argmax(axis=1)
+            units = arrays.unit_rows(arrays.matrix(batch.column(vector)))
+            score, at = np.full(len(units), -np.inf), np.zeros(len(units), np.int32)
+            for block in there if len(units) else ():
+                idx, unit = _reference_block(folder, block)
+                step = max(1, arrays.MAX_ELEMENTS // len(idx))
+                for i in range(0, len(units), step):
+                    sims = units[i : i + step] @ unit.T
+                    first = np.round(sims, 12).argmax(axis=1)
+                    own, found = sims[np.arange(len(sims)), first], idx[first]
+                    ahead, tie = np.round(own, 12) - np.round(score[i : i + step], 12), found < at[i : i + step]
+                    better = (ahead > 0) | ((ahead == 0) & tie)
+                    score[i : i + step] = np.where(better, own, score[i : i + step])
+                    at[i : i + step] = np.where(better, found, at[i : i + step])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(sims[np.arange(len(sims)), at]), pa.array(idx[at])],
+                [*batch.columns, pa.array(score), pa.array(at)],
                 names=[*batch.schema.names, "similarity_score", "most_similar_idx"],
             )
 
     return rows.mapInArrow(best, extended(rows, "similarity_score double, most_similar_idx int"))
 
 
-def _nearest_tiled(rows: DataFrame, refs: DataFrame, vector: str, block_rows: int) -> DataFrame:
-    n_rows, n_refs = rows.count(), refs.count()
-    row_blocks, ref_blocks = math.ceil(n_rows / block_rows) or 1, math.ceil(n_refs / block_rows)
-    left = rows.select("row_id", F.col(vector).cast("array<double>").alias("v")).select(
-        F.pmod(F.xxhash64("row_id"), F.lit(row_blocks)).cast("int").alias("b1"),
-        F.explode(F.sequence(F.lit(0), F.lit(ref_blocks - 1))).alias("b2"),
-        F.lit(0).alias("side"),
-        F.col("row_id").alias("k"),
-        "v",
-    )
-    right = refs.select(
-        F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("b1"),
-        F.pmod(F.xxhash64("idx"), F.lit(ref_blocks)).cast("int").alias("b2"),
-        F.lit(1).alias("side"),
-        F.col("idx").cast("bigint").alias("k"),
-        "v",
-    )
-
-    def best(table: pa.Table) -> pa.Table:
-        side, key = table.column("side").to_numpy(), table.column("k").to_numpy()
-        unit = arrays.unit_rows(arrays.matrix(table.column("v")))
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(key[b])]
-        if not len(a) or not len(b):
-            return pa.table({"row_id": key[:0], "s": np.zeros(0), "idx": key[:0]})
-        sims = unit[a] @ unit[b].T
-        at = sims.argmax(axis=1)
-        return pa.table({"row_id": key[a], "s": sims[np.arange(len(a)), at], "idx": key[b[at]]})
-
-    top = left.unionByName(right).groupBy("b1", "b2").applyInArrow(best, "row_id bigint, s double, idx bigint")
-    best_of = top.groupBy("row_id").agg(F.max(F.struct("s", (-F.col("idx")).alias("m"))).alias("best"))
-    return rows.join(
-        best_of.select(
-            "row_id",
-            F.col("best.s").alias("similarity_score"),
-            (-F.col("best.m")).cast("int").alias("most_similar_idx"),
-        ),
-        "row_id",
-    )
+@lru_cache(1)
+def _reference_block(folder: str, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes, ascending, and unit vectors of one written block."""
+    store, place = fs.FileSystem.from_uri(folder)
+    table = parquet.read_table(f"{place}/block={block}", filesystem=store, partitioning=None).sort_by("idx")
+    return table.column("idx").to_numpy().astype(np.int32), arrays.unit_rows(arrays.matrix(table.column("v")))

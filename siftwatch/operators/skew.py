@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from siftwatch.staging import stage
+
 # A key above this many rows is cut into slices of about this size.
 ROWS_PER_SALT = 1_000_000
 # A side table up to this many rows is copied to every executor.
@@ -59,24 +61,17 @@ def lookup_join(
     return salted_join(big, small, key, how)
 
 
-def renumber(df: DataFrame, order: str, name: str = "new_row_id", bucket_rows: int = 1_000_000) -> DataFrame:
-    """Dense 0-based numbers along the unique BIGINT column ``order``, without one global window.
+def renumber(df: DataFrame, order: str, name: str = "new_row_id") -> DataFrame:
+    """Dense 0-based numbers along the unique column ``order``, whatever its values.
 
-    Rows fall into buckets of ``bucket_rows`` consecutive keys, so a bucket can hold no more rows than that; only
-    the per-bucket counts (one row per bucket) go through a single running sum.
+    The rows are sorted by ranges and written with their partition and place in it. Only the partitions' row counts
+    go through a single running sum, and only that table, one row per partition, is broadcast.
     """
-    bucket = F.floor(F.col(order) / F.lit(bucket_rows))
-    rows = df.withColumn("_bucket", bucket)
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(bucket.alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(order)) - 1
-    return (
-        rows.withColumn("_inside", inside)
-        .join(offsets, "_bucket")
-        .withColumn(name, F.col("_offset") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_offset")
-    )
+    spot = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_spot", spot)
+    rows = stage(placed).withColumns({"_part": F.shiftright("_spot", 33), "_place": F.col("_spot").bitwiseAND((1 << 33) - 1)})
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_place"))
+    return numbered.drop("_spot", "_part", "_place", "_start")

@@ -16,7 +16,7 @@ from siftwatch.staging import stage
 
 @dataclass(frozen=True)
 class Run:
-    """Tables of one run. Everything but ``scored`` and the reports over it is written; all of it is lazy to read."""
+    """Tables of one run, all of them written. ``scored`` has the threats' columns and is in no order."""
 
     threats: DataFrame
     duplicates: dedup.Duplicates
@@ -25,6 +25,9 @@ class Run:
     model: KMeansModel
     scored: DataFrame
 
+    def ranked(self) -> DataFrame:
+        return scoring.rank_threats(self.scored)
+
     def duplicate_report(self) -> DataFrame:
         return dedup.duplicate_report(self.duplicates.pairs, self.threats)
 
@@ -72,15 +75,15 @@ def run(
     model = clusters.kmeans_fit(vectors, k, restarts=restarts, max_iter=max_iter)
     labelled = stage(clusters.assign_clusters(vectors, clusters.model_centers(model)))
     spread = stage(clusters.cluster_spread(labelled, k))
-    parts = simjoin.nearest_reference(
-        clusters.add_novelty(labelled, spread), stage(prepare_incidents(incidents, idf, text))
-    ).select("row_id", "cluster", "novelty_z", "novelty_score", "similarity_score", "most_similar_idx")
-    scored = (
+    slim = clusters.add_novelty(labelled, spread).select("row_id", "cluster", "novelty_z", "novelty_score", "embedding")
+    parts = simjoin.nearest_reference(slim, stage(prepare_incidents(incidents, idf, text))).drop("embedding")
+    # The texts move once, to their scores, and are written there; reports and rankings read that table.
+    scored = stage(
         scoring.add_keyword_score(threats, keywords, text)
         .join(parts, "row_id")
         .withColumn("risk_score", scoring.risk_score(weights))
     )
-    return Run(threats, duplicates, labelled, spread, model, scoring.rank_threats(scored))
+    return Run(threats, duplicates, labelled, spread, model, scored)
 
 
 def save(done: Run, folder: str, run_id: str) -> None:

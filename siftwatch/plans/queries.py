@@ -418,10 +418,10 @@ def nearest_incident(spark, sf):
 
 @query
 def similarity_score(spark, sf):
-    """The score alone, by the tiled join that large reference sets take."""
+    """The score alone, with the references cut into many blocks."""
     _, vectors, refs = _vectorised(spark, sf)
-    tiled = simjoin.nearest_reference(vectors, refs, max_values=0, block_rows=256)
-    return tiled.select("row_id", r6("similarity_score").alias("similarity_score"))
+    blocks = simjoin.nearest_reference(vectors, refs, block_values=4096)
+    return blocks.select("row_id", r6("similarity_score").alias("similarity_score"))
 
 
 @query
@@ -507,7 +507,7 @@ def run_pipeline(spark: SparkSession, sf: str) -> pipeline.Run:
 def pipeline_run(spark, sf):
     """The whole run. Its clusters come from k-means, so SQL cannot repeat it."""
     done = run_pipeline(spark, sf)
-    return done.scored.select(
+    return done.ranked().select(
         "row_id",
         "name",
         "risk_score",

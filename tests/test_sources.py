@@ -116,6 +116,8 @@ def test_salted_join_equals_plain_join(spark, how):
 
 
 def test_renumber_across_buckets(spark):
-    df = spark.range(0, 100, 7).withColumnRenamed("id", "row_id")
-    got = skew.renumber(df, "row_id", bucket_rows=10).orderBy("row_id").collect()
-    assert [r.new_row_id for r in got] == list(range(len(got)))
+    for ids in (spark.range(0, 100, 7), spark.range(20_000).select(F.xxhash64("id").alias("id")), spark.range(0)):
+        df = ids.repartition(7).withColumnRenamed("id", "row_id")
+        numbered = skew.renumber(df, "row_id")
+        got = numbered.orderBy("row_id").collect()
+        assert numbered.columns == ["row_id", "new_row_id"] and [r.new_row_id for r in got] == list(range(len(got)))

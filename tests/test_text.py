@@ -151,7 +151,7 @@ def test_nearest_reference_first_index_wins_and_both_ways_agree(spark):
     )
     # Indices 1 and 2 differ in length only, so their similarity differs by the epsilon in the norm.
     even = refs.where("idx < 2").unionByName(refs.where("idx = 1").withColumn("idx", F.lit(2)))
-    for kwargs in ({}, {"max_values": 0, "block_rows": 1}):
+    for kwargs in ({}, {"block_values": 1}, {"block_values": 3}):
         got = {r.row_id: (r.most_similar_idx, r.similarity_score) for r in simjoin.nearest_reference(rows, even, **kwargs).collect()}
         assert got[0][0] == 1 and got[0][1] == pytest.approx(1.0)
         assert got[1] == (0, 0.0)
