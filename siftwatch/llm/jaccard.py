@@ -38,7 +38,9 @@ PER_CENT = 90
 #: Segments beyond those that must be there, so that an empty segment seldom has to count as agreement.
 SPARE = 2
 #: Shingles in one slice of a block.
-SLICE = 1_000_000
+SLICE = 500_000
+#: Size of the filter that holds back texts of no candidate class; eight megabytes.
+BLOOM_BITS = 1 << 26
 #: Meetings a task holds to aggregate.
 HELD = 1_000_000
 MEMO_WORDS = 300_000
@@ -272,6 +274,30 @@ def search(sets: list[np.ndarray], side: np.ndarray, per_cent: int) -> np.ndarra
     return group
 
 
+def may_hold(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of one hash, ``BLOOM_BITS`` in size whatever the number of ids."""
+    bit = F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS))
+    places = ids.select(bit.alias("bit")).selectExpr("cast(bit >> 5 as int) AS w", "shiftleft(1L, cast(bit & 31 as int)) AS own")
+    words = places.groupBy("w").agg(F.bit_or("own").alias("bits")).toPandas()  # bounded by BLOOM_BITS
+    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    out[words["w"]] = words["bits"]
+    return out
+
+
+def sifted(texts: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``texts`` whose ``column`` is in ``ids``, and a few more: so that a join with ``ids`` need not
+    shuffle all texts."""
+    filled = texts.sparkSession.sparkContext.broadcast(may_hold(ids, column))
+
+    def run(batches):
+        for b in batches:
+            bit = b.column(b.num_columns - 1).to_numpy()
+            hit = filled.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(hit.astype(bool)))
+
+    return texts.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS))).mapInArrow(run, texts.schema)
+
+
 def block_links(members: DataFrame, per_cent: int) -> DataFrame:
     """(class, root) for all rows (block, i, j, side, class, set) of the tasks (block, i, j); a task's rows come together."""
     task = ["block", "i", "j"]
@@ -320,7 +346,7 @@ def grouped(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, id_col:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s.tobytes() for s in found], pa.binary())], names=schema.names).filter(same)
 
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("_text"))
-    with_sets = texts.join(members.select("first", "block", "slices", "class"), "first").select("_text", "block", "slices", "class").mapInArrow(sets, schema)
+    with_sets = sifted(texts, members, "first").join(members.select("first", "block", "slices", "class"), "first").select("_text", "block", "slices", "class").mapInArrow(sets, schema)
     own = F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")
     tasks = with_sets.withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     tasks = tasks.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o"), "side": (F.col("t") > F.col("o")).cast("int")})
