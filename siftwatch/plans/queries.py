@@ -345,13 +345,19 @@ def dedup_summary(spark, sf):
 
 @query
 def kmeans_fit(spark, sf):
-    """Best-of-ten fit on all vectors: cluster id, size and squared distances. Ids depend on the solver."""
-    v = stage(fx.vectors(spark, sf).drop("cluster"))
-    model = clusters.kmeans_fit(v, k=clusters.K)
-    labelled = clusters.assign_clusters(v, clusters.model_centers(model))
-    return labelled.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("size"), r6(F.sum(F.col("distance") * F.col("distance"))).alias("inertia")
+    """Best-of-ten fit on all vectors, each behind ten times its label in one-hot form: the best partition is then
+    that of the labels. Clusters are named by their first row, as the solver's numbers mean nothing."""
+    v = fx.vectors(spark, sf)
+    hot = F.array(*(F.when(F.col("cluster") == i, 10.0).otherwise(0.0) for i in range(clusters.K)))
+    points = stage(v.select("row_id", F.concat(hot, F.col("embedding").cast("array<double>")).alias("embedding")))
+    model = clusters.kmeans_fit(points, k=clusters.K)
+    labelled = stage(clusters.assign_clusters(points, clusters.model_centers(model)).drop("embedding"))
+    named = labelled.groupBy("cluster").agg(
+        F.min("row_id").alias("first_row"),
+        F.count(F.lit(1)).alias("size"),
+        r6(F.sum(F.col("distance") * F.col("distance"))).alias("inertia"),
     )
+    return labelled.join(F.broadcast(named), "cluster").select("row_id", "first_row", "size", "inertia")
 
 
 def _centers(spark, sf):
@@ -503,9 +509,8 @@ def run_pipeline(spark: SparkSession, sf: str) -> pipeline.Run:
     )
 
 
-@query
-def pipeline_run(spark, sf):
-    """The whole run. Its clusters come from k-means, so SQL cannot repeat it."""
+def ranked_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole run, ranked."""
     done = run_pipeline(spark, sf)
     return done.ranked().select(
         "row_id",
@@ -521,7 +526,23 @@ def pipeline_run(spark, sf):
     )
 
 
-QUERIES["triage_pipeline"] = QUERIES.pop("pipeline_run")
+@query
+def triage_pipeline(spark, sf):
+    """The whole run: what does not depend on the solver's clusters, and whether the rest holds together."""
+    weights = scoring.RESCORE_WEIGHTS
+    gap = F.abs(F.col("risk_score") - scoring.risk_score(weights))
+    return ranked_run(spark, sf).select(
+        "row_id",
+        "name",
+        r6("similarity_score").alias("similarity_score"),
+        "most_similar_idx",
+        "matched_keywords",
+        "num_keywords_matched",
+        r6("keyword_score").alias("keyword_score"),
+        F.col("novelty_score").between(0, 1).alias("novelty_in_range"),
+        F.col("cluster").between(0, clusters.K - 1).alias("cluster_known"),
+        (gap < 1e-9).alias("risk_is_weighted"),
+    )
 
 
 # --- aggregates ------------------------------------------------------------------------------------------------
