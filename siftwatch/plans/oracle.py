@@ -326,6 +326,8 @@ FROM survivors JOIN documents ON doc_id = row_id""",
     "dedup_summary": f"""WITH RECURSIVE {VEC_PAIRS}, {greedy('SELECT vec_id AS row_id FROM embeddings')},
 c AS (SELECT (SELECT count(*) FROM v) AS o, (SELECT count(*) FROM survivors) AS s)
 SELECT o AS original, o - s AS removed, s AS unique_rows, round((o - s)::DOUBLE / o * 100, 6) AS rate_percent FROM c""",
+    "collect_threats": f"""WITH {PULSES} SELECT row_number() OVER (ORDER BY page, pos) - 1 AS row_id, id, name, description,
+  tags, created_date, refs AS "references", 'feed' AS source, author FROM pulses WHERE {KEPT}""",
     "kmeans_fit": f"""WITH {VEC}, {centers()},
 named AS (SELECT cluster, min(row_id) AS first_row, count(*) AS size, round(sum(distance * distance), 6) AS inertia
           FROM dist GROUP BY cluster)
@@ -422,3 +424,5 @@ UNION ALL SELECT 'keywords', CAST(c AS INTEGER), row_id FROM r WHERE c <= 50""",
 SELECT a.row_id AS row_a, b.row_id AS row_b, a.label AS label_a, b.label AS label_b,
   round(1 - abs(a.risk_score - b.risk_score), 6) AS proximity FROM top a, top b""",
 }
+
+ORACLE["score_with_saved"] = ORACLE["score_threats"]

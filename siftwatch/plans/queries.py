@@ -672,3 +672,24 @@ def component_profile(spark, sf):
 @query
 def score_proximity(spark, sf):
     return rounded(reports.score_proximity(fx.scored(spark, sf)), "proximity")
+
+
+@query
+def collect_threats(spark, sf):
+    """From landed pages to the written threat table that a run reads."""
+    return pulses.collect(spark, fx.land_pages(spark, sf, stage_path(spark)), stage_path(spark))
+
+
+@query
+def score_with_saved(spark, sf):
+    """Scores of all threats from a saved space: document frequencies, centers and spread read back from files."""
+    t, vectors, _ = _vectorised(spark, sf)
+    rows = t.withColumn("cluster", F.substring("source", 4, 10).cast("int"))
+    own = stage(rows.select("row_id", "cluster").join(vectors, "row_id"))
+    centers = stage(clusters.cluster_centers(own))
+    spread = clusters.cluster_spread(clusters.member_distances(own, centers))
+    folder = stage_path(spark)
+    pipeline.save_space(vectorize.fit_idf(vectorize.term_counts(t)), centers, spread, folder)
+    scored = pipeline.score_with_saved(rows, fx.incidents(spark, sf), folder, fx.KEYWORDS)
+    names = ("risk_score", "similarity_score", "keyword_score", "novelty_score")
+    return rounded(scored.select("row_id", *names, "most_similar_idx", "matched_keywords", "num_keywords_matched", "cluster"), *names)

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from siftwatch.functions import text as T
-from siftwatch.sources.schemas import PULSE_PAGE
+from siftwatch.operators.skew import renumber
+from siftwatch.sources import tables
+from siftwatch.sources.schemas import PULSE_PAGE, THREAT
 
 # A report is relevant when its tags hold one of these.
 RELEVANT_TAGS = [
@@ -99,3 +102,13 @@ def collection_summary(
     )
     rate = (F.lit(1.0) - F.try_divide(F.col("kept").cast("double"), F.col("raw").cast("double"))) * 100.0
     return counted.select("raw", "kept", rate.alias("filter_rate"), "min_created", "max_created")
+
+
+def collect(spark: SparkSession, pages: str, out: str, source: str = "feed", **options) -> DataFrame:
+    """Landed pages to a written threat table, the one that a run reads: kept rows, numbered in feed order."""
+    flat = normalise_pulses(flatten_pulse_pages(read_pulse_pages(spark, pages), **options), source)
+    kept = quality_filter(flat).withColumn("_place", F.struct("page", "pos"))
+    numbered = renumber(kept, "_place", "row_id")
+    columns = [f.name for f in StructType.fromDDL(THREAT)]
+    tables.write_threats(numbered.select(*columns), out)
+    return tables.scan_threats(spark, out)
