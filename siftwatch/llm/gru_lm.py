@@ -8,7 +8,7 @@ model is a distribution over the same words as the count baseline, and starts fr
 * Counts cover all training texts: one shuffled sum per word.
 * Training covers all windows of all training texts once, in ``ROUNDS`` rounds: every task walks its texts in parallel
   lanes, carrying states from window to window, and the tasks' parameters are averaged by their tokens.
-* Scoring carries the state from a text's first word to its last. Words outside the ``KNOWN`` most frequent ones get
+* Scoring carries the state from a text's first word to its last. Words outside the most frequent ones (``KNOWN`` at most) get
   their counts by a join on what each text holds of them; frequent words never enter that shuffle.
 
 Null and empty texts hold only the end. Rows without an id are held out of training but not marked so. Without training
@@ -111,7 +111,11 @@ class Vocabulary:
         self.ends = sum(r.n for r in shapes if r.shape == SHAPES)
         # One unknown word in every shape's class.
         self.whole = self.mass + ALPHA * (self.inside + 1)
-        known = top.limit(KNOWN).select("key", "n").toPandas().sort_values("key")
+        # The lowest count, by quarter powers of two, above which there are no more words than may be sent on.
+        power = F.floor(F.log2("n") * 4).cast("int")
+        sizes = counts.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+        few = [r.power for r, most in zip(sizes, np.cumsum([r["count"] for r in sizes])) if most <= KNOWN]
+        known = counts.where((F.col("shape") < SHAPES) & (power >= (few[-1] if few else 1 << 20))).select("key", "n").toPandas().sort_values("key")
         self.keys, self.known = known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
 
 

@@ -155,8 +155,12 @@ class Forest:
 
 def grow(stats: DataFrame, id_col: str = "doc_id", trees: int = TREES, tree_rows: int = TREE_ROWS) -> Forest:
     """A forest on the rows of ``stats`` with the lowest hashed ids, ``trees * tree_rows`` at most."""
-    order = [F.xxhash64(id_col, F.lit("forest")), F.col(id_col), *(F.col(c) for c in FEATURES)]
-    sample = stats.orderBy(*order).select(*FEATURES).limit(trees * tree_rows).toPandas()
+    most, place = trees * tree_rows, F.xxhash64(id_col, F.lit("forest"))
+    # Only hashes that can be among the lowest are sorted and sent on: about twice as many rows as wanted.
+    share = min(1.0, (2 * most + 1000) / max(stats.count(), 1))
+    low = stats.where(place <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    order = [place, F.col(id_col), *(F.col(c) for c in FEATURES)]
+    sample = low.orderBy(*order).select(*FEATURES).limit(most).toPandas()
     return Forest(sample.to_numpy(float), trees, tree_rows)
 
 
