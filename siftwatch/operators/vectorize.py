@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftwatch.functions import arrays
-from siftwatch.functions.vectors import zero_vector
 from siftwatch.staging import stage
 
 DIM = 384
@@ -107,9 +106,10 @@ def dense_vectors(terms: DataFrame, idf: Idf, name: str = "embedding") -> DataFr
 
 
 def embed_text(df: DataFrame, text: str = "description", dim: int = DIM, name: str = "embedding") -> DataFrame:
-    """Adds the TF-IDF vector of ``text`` to a table keyed by ``row_id``; frequencies come from the table itself."""
+    """``(row_id, vector)``: the TF-IDF vectors of ``text``; frequencies come from the table itself. Neither texts nor
+    vectors are shuffled."""
     terms = stage(term_counts(df, text, _width(dim)))
-    return df.join(dense_vectors(terms, fit_idf(terms, dim), name), "row_id")
+    return dense_vectors(terms, fit_idf(terms, dim), name)
 
 
 def _width(dim: int) -> int:
@@ -124,18 +124,19 @@ def embed_with(
     name: str = "embedding",
     batch_size: int = 32,
 ) -> DataFrame:
-    """Adds vectors from a user's encoder. ``encoder`` is called once per task and returns the batch function,
-    so a model is loaded once per task; blank and missing texts never reach it and get zeros."""
+    """``(row_id, vector)`` from a user's encoder, in one narrow pass. ``encoder`` is called once per task and returns
+    the batch function, so a model is loaded once per task; blank and missing texts never reach it and get zeros."""
     schema = f"row_id bigint, {name} array<double>"
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = encoder()
         for frame in frames:
-            texts = frame["t"].tolist()
-            out = np.zeros((len(texts), dim))
+            written = np.flatnonzero(frame["t"].notna())
+            texts = frame["t"].iloc[written].tolist()
+            out = np.zeros((len(frame), dim))
             for at in range(0, len(texts), batch_size):
-                out[at : at + batch_size] = model(texts[at : at + batch_size])
+                out[written[at : at + batch_size]] = model(texts[at : at + batch_size])
             yield pd.DataFrame({"row_id": frame["row_id"], name: list(out)})
 
-    vectors = df.select("row_id", F.col(text).alias("t")).where(F.col("t").rlike(r"\S")).mapInPandas(encode, schema)
-    return df.join(vectors, "row_id", "left").withColumn(name, F.coalesce(name, zero_vector(dim)))
+    written = F.when(F.col(text).rlike(r"\S"), F.col(text))
+    return df.select("row_id", written.alias("t")).mapInPandas(encode, schema)

@@ -102,7 +102,7 @@ def run(
 
 def encoded(threats: DataFrame, incidents: DataFrame, encoder, dim: int, text: str = "description") -> dict[str, DataFrame]:
     """The vectors of both tables by a user's encoder, as arguments of ``run``."""
-    rows = vectorize.embed_with(threats, encoder, dim, text).select("row_id", "embedding")
+    rows = vectorize.embed_with(threats, encoder, dim, text)
     refs = vectorize.embed_with(incidents.select(F.col("idx").cast("bigint").alias("row_id"), text), encoder, dim, text)
     return {"vectors": stage(rows), "incident_vectors": stage(refs.select(F.col("row_id").cast("int").alias("idx"), "embedding"))}
 
