@@ -18,7 +18,6 @@ texts all words are unknown and share one class. Repeated ids keep a row each.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +25,24 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, lower_words, utf8
+from siftwatch.llm.texts import by_bytes, lower_words, one_per_worker, utf8
 from siftwatch.staging import stage
 
 FREQUENT, CLASSES = 1024, 32
 KNOWN = 400_000
-HIDDEN, EMBEDDED = 16, 8
-ROUNDS, WINDOW, LANES, RATE = 2, 24, 384, 0.01
+HIDDEN, EMBEDDED = 12, 8
+ROUNDS, WINDOW, LANES, RATE = 2, 24, 512, 0.01
 SCORING_LANES, SCORING_BYTES = 1024, 12 << 20
 #: In training a lane starts anew after this many words of one text.
 SEGMENT = 2000
 MEMO_WORDS = 300_000
 ALPHA = 0.1
+#: Tokens whose class scores are worked out at once.
+BLOCK = 1024
 
 END = b"\n"  # no word holds white space
-LETTERS = b"abcdefghijklmnopqrstuvwxyz"
-#: Shapes: last letter a-z, other letter, digit, marks only; each with and without a mark behind.
+LETTERS = b"aedghlnorsty"
+#: Shapes: the last letter if it is a common one, another letter, a digit, each with and without a mark behind; marks.
 SHAPES = 2 * (len(LETTERS) + 2) + 1
 
 
@@ -165,21 +166,27 @@ class Gru:
     def output(self, states: np.ndarray, codes: np.ndarray, back: dict | None = None):
         """Natural log of the probability of each code after its state: its class, and its place in a class of
         frequent words. With ``back``, gradients of the negative sum are put there; the states' one is returned too."""
-        rows, classes = np.arange(len(codes)), self.classes_of(codes)
-        logits = states @ self.p["wc"]
-        logits += self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        at = logits[rows, classes]
-        np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
-        logs = at - np.log(total)
-        grad = None
+        n, classes = len(codes), self.classes_of(codes)
+        wc, bc, ones = self.p["wc"], self.p["bc"], np.ones(self.outputs, self.p["wc"].dtype)
+        logs, grad = np.empty(n, wc.dtype), None
         if back is not None:
-            logits /= total[:, None]
-            logits[rows, classes] -= 1
-            grad = logits @ self.p["wc"].T
-            back["wc"], back["bc"] = states.T @ logits, logits.sum(axis=0)
-            back["wi"], back["bi"] = np.zeros_like(self.p["wi"]), np.zeros_like(self.p["bi"])
+            grad = np.empty_like(states)
+            back.update({k: np.zeros_like(self.p[k]) for k in ("wc", "bc", "wi", "bi")})
+        for i in range(0, n, BLOCK):  # blocks that stay in the cache
+            own, target = states[i : i + BLOCK], classes[i : i + BLOCK]
+            rows, logits = np.arange(len(own)), own @ wc
+            logits += bc
+            np.minimum(logits, 60, out=logits)
+            at = logits[rows, target]
+            np.exp(logits, out=logits)
+            total = logits @ ones
+            logs[i : i + BLOCK] = at - np.log(total)
+            if back is not None:
+                logits *= (1 / total)[:, None]
+                logits[rows, target] -= 1
+                grad[i : i + BLOCK] = logits @ wc.T
+                back["wc"] += own.T @ logits
+                back["bc"] += logits.sum(axis=0)
         frequent = np.flatnonzero(codes < self.n)
         order = frequent[np.argsort(classes[frequent], kind="stable")]
         bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
@@ -188,13 +195,13 @@ class Gru:
             place, hs, k = codes[own] - c * self.members, states[own], np.arange(len(own))
             inner = hs @ self.p["wi"][c]
             inner += self.p["bi"][c]
-            inner -= inner.max(axis=1, keepdims=True)
+            np.minimum(inner, 60, out=inner)
             at = inner[k, place]
             np.exp(inner, out=inner)
-            total = inner.sum(axis=1)
+            total = inner @ np.ones(self.members, wc.dtype)
             logs[own] += at - np.log(total)
             if back is not None:
-                inner /= total[:, None]
+                inner *= (1 / total)[:, None]
                 inner[k, place] -= 1
                 grad[own] += inner @ self.p["wi"][c].T
                 back["wi"][c], back["bi"][c] = hs.T @ inner, inner.sum(axis=0)
@@ -282,9 +289,8 @@ class Coder:
         return [np.fromiter(map(get, r), np.int64, len(r)) for r in rows]
 
 
-@lru_cache(1)
 def coder(sent) -> Coder:
-    return Coder(sent.value)
+    return one_per_worker(("gru", sent._path), lambda: Coder(sent.value))
 
 
 def lanes_of(lengths: list[int], lanes: int) -> list[list[int]]:
