@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import base64
 from array import array
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import Memo, by_bytes, by_parts, space_parts
+from siftwatch.llm.texts import Memo, by_bytes, by_parts, one_per_worker, space_parts
 
 #: Parts of texts, and pairs of tokens, that a task keeps (twice that at most).
 MEMO_PARTS = 250_000
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,7 +46,7 @@ class BytePairs:
             self.longest.add_word(token.decode("latin-1")[::-1], rank)
         self.longest.make_automaton()
         self.prefixes: dict[int, int | None] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo = Memo(MEMO_PARTS)
 
     def _cuts_at_spaces(self) -> bool:
@@ -65,11 +64,12 @@ class BytePairs:
         return [self.ranks[p] for p in parts]
 
     def fit(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
+        pair = left << 32 | right
+        known = self.fits.get(pair)
         if known is None:
             if len(self.fits) > MEMO_PAIRS:
                 self.fits.clear()
-            known = self.fits[left, right] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self.fits[pair] = self.merges(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def prefix(self, token: int) -> int | None:
@@ -119,9 +119,8 @@ class BytePairs:
         return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
 
 
-@cache
 def coder(path: str, pattern: str) -> BytePairs:
-    return BytePairs(read_ranks(path), pattern)
+    return one_per_worker(("byte pairs", path, pattern), lambda: BytePairs(read_ranks(path), pattern))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, lower_words, utf8
+from siftwatch.llm.texts import by_bytes, lower_words, one_per_worker, utf8
 from siftwatch.staging import stage
 
 SIZE = 3
@@ -86,9 +86,8 @@ class Shingler:
         return np.unique(out)
 
 
-@cache
 def shingler(size: int) -> Shingler:
-    return Shingler(size)
+    return one_per_worker(("jaccard", size), lambda: Shingler(size))
 
 
 def class_of(shingles: np.ndarray) -> int:

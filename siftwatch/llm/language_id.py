@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache, lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from siftwatch.llm.texts import one_per_worker
 from siftwatch.staging import stage
 
 ROUNDS = 3
@@ -206,9 +207,8 @@ class Scorer:
         return [self.logs[np.fromiter(map(get, r), np.int64, len(r))].sum(axis=0) if r else None for r in rows]
 
 
-@lru_cache(1)
-def scorer(key: str, path: str, sent) -> Scorer:
-    return Scorer(path, sent.value)
+def scorer(path: str, sent) -> Scorer:
+    return one_per_worker(("language", path, sent._path), lambda: Scorer(path, sent.value))
 
 
 def predict(docs: DataFrame, path: str, languages: list[str], table: np.ndarray, carry: list[Column] = (), text_col: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, path: str, languages: list[str], table: np.ndarray,
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        own = scorer(sent._path, path, sent)
+        own = scorer(path, sent)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)

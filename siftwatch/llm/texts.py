@@ -22,6 +22,18 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER_AZ).split()
 
 
+_held: dict = {}
+
+
+def one_per_worker(key: tuple, build):
+    """What ``build`` gives, kept for the worker's later tasks. A worker keeps one such thing: tasks of another
+    operator let it go first, so that a worker that serves several of them does not add up their memories."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 class Memo:
     """What keys gave, for about the last ``most`` different ones: two generations, so that frequent keys stay."""
 

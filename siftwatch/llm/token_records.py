@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from siftwatch.llm import crc32c, files
-from siftwatch.llm.texts import Memo, by_bytes, by_parts
+from siftwatch.llm.texts import Memo, by_bytes, by_parts, one_per_worker
 from siftwatch.staging import stage, stage_path
 
 #: Parts of texts whose ids a task keeps (twice that at most); about 200 bytes each.
@@ -86,9 +85,8 @@ class Encoder:
         return [out[p] for p in parts]
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return one_per_worker(("token records", path), lambda: Encoder(path))
 
 
 def framed(payload: bytes) -> bytes:
