@@ -3,7 +3,7 @@
 Rows are grouped into regions (nearest pivot, then rings of distance around it) and every region is cut by hash
 into blocks of about ``block_rows`` rows. A tile is a pair of blocks; it is computed only when the triangle
 inequality on angles allows a pair above the threshold between the two regions. There are at most ``MAX_PIVOTS``
-pivots and a fixed number of rings, so the region table stays small whatever the row count is; tiles are bounded
+pivots with ``MAX_RINGS`` rings, so the region table stays small whatever row count and threshold are; tiles are bounded
 in rows, and block sizes do not depend on how the vectors are distributed.
 """
 
@@ -26,6 +26,8 @@ from siftwatch.staging import stage, stage_path
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 32
 RINGS_PER_THETA = 4
+# Rings around one pivot at most, however narrow the threshold: the region table and its links stay bounded.
+MAX_RINGS = 64
 # Room for rounding in the angle bounds; only ever lets more tiles through.
 ANGLE_SLACK = 1e-6
 # Numbers in one block of reference vectors.
@@ -69,7 +71,7 @@ def _regions(units: DataFrame, threshold: float, n_pivots: int, block_rows: int)
     theta = math.acos(min(1.0, max(-1.0, threshold))) + ANGLE_SLACK
     sample = units.select("row_id", "unit").orderBy(F.md5(F.col("row_id").cast("string"))).limit(n_pivots)
     pivots = np.array([r.unit for r in sample.collect()])
-    ring = theta / RINGS_PER_THETA
+    ring = max(theta / RINGS_PER_THETA, math.pi / MAX_RINGS)
     per_pivot = int(math.pi / ring) + 2
     extra = [f for f in units.schema.fields if f.name not in ("row_id", "unit")]
     schema = extended(units, "region int, angles array<double>")

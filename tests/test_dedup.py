@@ -125,3 +125,13 @@ def test_clean_renumbers_on_request(spark):
     assert [r.v for r in dedup.clean(df, removed).orderBy("row_id").collect()] == ["0", "2", "3", "5"]
     again = dedup.clean(df, removed, renumber_rows=True).orderBy("row_id").collect()
     assert [(r.row_id, r.v) for r in again] == [(0, "0"), (1, "2"), (2, "3"), (3, "5")]
+
+
+def test_regions_stay_bounded_at_any_threshold(spark):
+    m = np.random.default_rng(5).normal(size=(3000, 6))
+    m[1500:1600] = m[:100]
+    units = simjoin.unit_vectors(vector_table(spark, m))
+    for threshold in (0.9, 0.999, 1.0):
+        regions = simjoin._regions(units, threshold, 4, 512)
+        n = regions.rows.select("region").distinct().count()
+        assert n <= 4 * (simjoin.MAX_RINGS + 2) and len(regions.links) <= n * (n + 1) / 2

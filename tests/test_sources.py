@@ -1,8 +1,10 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row, functions as F
 
+from siftwatch import staging
 from siftwatch.operators import skew
 from siftwatch.sources import pulses, schemas, tables
 
@@ -121,3 +123,12 @@ def test_renumber_across_buckets(spark):
         numbered = skew.renumber(df, "row_id")
         got = numbered.orderBy("row_id").collect()
         assert numbered.columns == ["row_id", "new_row_id"] and [r.new_row_id for r in got] == list(range(len(got)))
+
+
+def test_a_scope_takes_its_staged_tables_with_it(spark):
+    before = staging.stage(spark.range(3))
+    with staging.stage_scope(spark) as folder:
+        inside = staging.stage(spark.range(5))
+        assert inside.count() == 5 and all(folder in f for f in inside.inputFiles())
+    assert not Path(folder).exists() and before.count() == 3
+    assert "scope-" not in staging.stage_path(spark)
