@@ -30,8 +30,8 @@ from siftwatch.staging import stage
 
 FREQUENT, CLASSES = 1024, 32
 KNOWN = 400_000
-HIDDEN, EMBEDDED = 12, 8
-ROUNDS, WINDOW, LANES, RATE = 2, 24, 512, 0.01
+HIDDEN, EMBEDDED = 16, 8
+ROUNDS, WINDOW, LANES, RATE = 2, 24, 384, 0.01
 SCORING_LANES, SCORING_BYTES = 1024, 12 << 20
 #: In training a lane starts anew after this many words of one text.
 SEGMENT = 2000
@@ -41,8 +41,8 @@ ALPHA = 0.1
 BLOCK = 1024
 
 END = b"\n"  # no word holds white space
-LETTERS = b"aedghlnorsty"
-#: Shapes: the last letter if it is a common one, another letter, a digit, each with and without a mark behind; marks.
+LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+#: Shapes: last letter a-z, other letter, digit, each with and without a mark behind; marks only.
 SHAPES = 2 * (len(LETTERS) + 2) + 1
 
 
@@ -155,7 +155,11 @@ class Gru:
     def step(self, x: np.ndarray, h: np.ndarray):
         """One time step from gate inputs ``x`` and states ``h``; also what the way back needs."""
         g = h @ self.p["wh"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])))
+        zr = x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN]
+        zr *= 0.5
+        np.tanh(zr, out=zr)  # the logistic function, by the cheaper of two equal forms
+        zr *= 0.5
+        zr += 0.5
         z, r, inner = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
         new = np.tanh(x[:, 2 * HIDDEN :] + r * inner)
         return new + z * (h - new), (zr, inner, new)
@@ -215,7 +219,8 @@ class Gru:
         before, after, kept = np.empty((2, steps, lanes, HIDDEN), np.float32), None, []
         before, after = before
         for t in range(steps):
-            before[t] = np.where(fresh[t][:, None], 0, state)
+            before[t] = state
+            before[t][fresh[t]] = 0
             after[t], more = self.step(x[t], before[t])
             kept.append(more)
             state = after[t]
@@ -223,26 +228,33 @@ class Gru:
         _, grad = self.output(after.reshape(-1, HIDDEN), targets.ravel(), back)
         grad = grad.reshape(after.shape)
         gates, hidden, down = np.empty_like(x), np.empty_like(x), np.zeros((lanes, HIDDEN), np.float32)
+        back_wh = np.ascontiguousarray(self.p["wh"].T)
         for t in range(steps - 1, -1, -1):
             (zr, inner, new), h = kept[t], before[t]
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            d = grad[t] + down
-            dn = d * (1 - z) * (1 - new * new)
-            a = gates[t]
-            a[:, :HIDDEN] = d * (h - new) * z * (1 - z)
-            a[:, HIDDEN : 2 * HIDDEN] = dn * inner * r * (1 - r)
+            d = grad[t]
+            d += down
+            slope = zr * (1 - zr)
+            dn = d * (1 - z)
+            dn *= 1 - new * new
+            a, g = gates[t], hidden[t]
+            np.multiply(d, h - new, out=a[:, :HIDDEN])
+            np.multiply(dn, inner, out=a[:, HIDDEN : 2 * HIDDEN])
+            a[:, : 2 * HIDDEN] *= slope
             a[:, 2 * HIDDEN :] = dn
-            hidden[t] = a
-            hidden[t][:, 2 * HIDDEN :] *= r
-            down = d * z + hidden[t] @ self.p["wh"].T
+            g[:, : 2 * HIDDEN] = a[:, : 2 * HIDDEN]
+            np.multiply(dn, r, out=g[:, 2 * HIDDEN :])
+            down = g @ back_wh
+            down += d * z
             down[fresh[t]] = 0
         flat = gates.reshape(-1, 3 * HIDDEN)
         back["wx"], back["b"] = embedded.reshape(-1, EMBEDDED).T @ flat, flat.sum(axis=0)
         back["wh"] = before.reshape(-1, HIDDEN).T @ hidden.reshape(-1, 3 * HIDDEN)
         order = np.argsort(inputs.ravel(), kind="stable")
-        codes, first = np.unique(inputs.ravel()[order], return_index=True)
+        codes = inputs.ravel()[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         back["embed"] = np.zeros_like(self.p["embed"])
-        back["embed"][codes] = np.add.reduceat((flat @ self.p["wx"].T)[order], first)
+        back["embed"][codes[first]] = np.add.reduceat((flat @ self.p["wx"].T)[order], first)
         return {k: g / (steps * lanes) for k, g in back.items()}, state
 
 
@@ -265,25 +277,30 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.place = vocabulary, {}
-        self.rows = np.zeros(MEMO_WORDS, [("code", "<i4"), ("key", "<i8"), ("n", "<i8")])
+        self.rows = self._empty(MEMO_WORDS)
+
+    @staticmethod
+    def _empty(n: int) -> dict[str, np.ndarray]:
+        return {"code": np.zeros(n, np.int64), "key": np.zeros(n, np.int64), "n": np.zeros(n, np.int64)}
 
     def texts(self, rows: list[list[bytes]]) -> list[np.ndarray]:
         """Places of each text's words in ``rows``."""
         new = list(set().union(*rows) - self.place.keys())
-        if len(new) + len(self.place) > len(self.rows):
+        room = len(self.rows["code"])
+        if len(new) + len(self.place) > room:
             self.place.clear()
             new = list(set().union(*rows))
-            if len(new) > len(self.rows):
-                self.rows = np.zeros(len(new), self.rows.dtype)
+            if len(new) > room:
+                self.rows = self._empty(len(new))
         if new:
             at, n = len(self.place), len(self.v.frequent)
-            own = self.rows[at : at + len(new)]
-            own["code"] = [self.v.frequent.get(w, -1) if w in self.v.frequent else n + shape(w) for w in new]
-            own["key"] = [key_of(w) for w in new]
-            own["n"] = -1
+            own = {k: x[at : at + len(new)] for k, x in self.rows.items()}
+            own["code"][:] = [self.v.frequent[w] if w in self.v.frequent else n + shape(w) for w in new]
+            own["key"][:] = [key_of(w) for w in new]
+            own["n"][:] = -1
             if len(self.v.keys):
                 found = np.minimum(np.searchsorted(self.v.keys, own["key"]), len(self.v.keys) - 1)
-                own["n"] = np.where(self.v.keys[found] == own["key"], self.v.known[found], -1)
+                own["n"][:] = np.where(self.v.keys[found] == own["key"], self.v.known[found], -1)
             self.place.update(zip(new, range(at, at + len(new))))
         get = self.place.__getitem__
         return [np.fromiter(map(get, r), np.int64, len(r)) for r in rows]
@@ -413,10 +430,11 @@ def log_likelihoods(network: Gru, texts: list[np.ndarray], lanes: int = SCORING_
         size = min(WINDOW, int(lengths[0]) - begin)
         codes = np.full((size, live), -1)
         owner = np.full((size, live), -1)
+        full = int((lengths >= begin + size).sum())
         for k in range(live):
-            piece = streams[k][begin : begin + size]
-            codes[: len(piece), k] = piece
-            owner[: len(piece), k] = owners[k][begin : begin + size]
+            n = size if k < full else int(lengths[k]) - begin
+            codes[:n, k] = streams[k][begin : begin + n]
+            owner[:n, k] = owners[k][begin : begin + n]
         states = np.empty((size, live, HIDDEN), np.float32)
         for t in range(size):
             fresh = owner[t] != last_owner
@@ -452,7 +470,7 @@ def score(docs: DataFrame, network: Gru, vocabulary, counts: DataFrame, carry: l
                 scores = log_likelihoods(own, sequences) / np.log(10)
                 known, base, rare = [], [], []
                 for k, p in enumerate(texts):
-                    words = code.rows[p]
+                    words = {k: x[p] for k, x in code.rows.items()}
                     n = words["n"]
                     have = n >= 0
                     known.append(int(have.sum()) + (v.ends > 0))
