@@ -17,6 +17,7 @@ from siftwatch.functions import arrays, text as T
 from siftwatch.functions.vectors import as_double, euclidean
 from siftwatch.operators.simjoin import extended
 from siftwatch.operators.skew import lookup_join
+from siftwatch.staging import stage
 
 K = 10
 RESTARTS = 10
@@ -196,7 +197,9 @@ def sample_names(
 
 
 def cluster_profile(df: DataFrame, spread: DataFrame, k: int, cluster: str = "cluster") -> DataFrame:
-    """One row per cluster id 0..k-1, empty ones included: size, share in percent, tags, samples and spread."""
+    """One row per cluster id 0..k-1, empty ones included: size, share in percent, tags, samples and spread. The input
+    is read once, for a written projection."""
+    df = stage(df.select(cluster, "row_id", "name", "tags"))
     ids = df.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster_id"))
     sizes = df.groupBy(F.col(cluster).alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
     total = df.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
@@ -221,7 +224,8 @@ def cluster_profile(df: DataFrame, spread: DataFrame, k: int, cluster: str = "cl
 
 
 def cluster_summary(df: DataFrame, strip_tags: bool = True, cluster: str = "cluster") -> DataFrame:
-    """The clusters present: row count, top tags and sample names."""
+    """The clusters present: row count, top tags and sample names. The input is read once, for a written projection."""
+    df = stage(df.select(cluster, "row_id", "name", "tags"))
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_rows"))
     tags = _joined(top_tags(df, strip_tags=strip_tags, cluster=cluster), cluster, "tag", "rank", ", ", "top_tags")
     samples = _joined(sample_names(df, cluster=cluster), cluster, "sample", "rank", " | ", "sample_threats")
