@@ -210,19 +210,25 @@ def candidate_edges(docs: DataFrame, size: int, per_cent: int, id_col: str, text
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for all ends of ``edges`` (a, b): the smallest v of each connected component.
 
-    Rounds of taking the smallest root among neighbours and then the root's own root, until nothing changes; a chain
-    shortens by doubling. Edges of a hub are split by adaptive execution, as the hub's label joins them.
+    In each round every vertex takes its smallest neighbour, then that one's; edges are drawn again between what their
+    ends took, and those within one vertex are gone. Few are left after the first round, whatever the groups' sizes,
+    and the edges of a hub are split by adaptive execution, as the hub's label joins them.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("root")))
+    links, labels = stage(edges.select("a", "b").distinct()), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("root").alias("near"))
-        lower = labels.join(near, F.col("v") == F.col("a")).select("v", "root", F.least("root", "near").alias("lower"))
-        lower = stage(lower)
-        own = lower.select(F.col("v").alias("u"), F.col("lower").alias("above"))
-        new = stage(lower.join(own, F.col("lower") == F.col("u")).select("v", F.least("lower", "above").alias("new"), "root"))
-        labels = new.select("v", F.col("new").alias("root"))
-        if new.where("new <> root").isEmpty():
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("up")))
+        above = near.select(F.col("v").alias("u"), F.col("up").alias("root"))
+        taken = stage(near.join(above, F.col("up") == F.col("u")).select("v", "root"))
+        if labels is None:
+            labels = taken
+        else:
+            new = taken.select(F.col("v").alias("old"), F.col("root").alias("new"))
+            labels = stage(labels.join(new, F.col("root") == F.col("old"), "left").select("v", F.coalesce("new", "root").alias("root")))
+        first, second = (taken.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b"))
+        drawn = links.join(first, "a").join(second, "b").where("root_a <> root_b")
+        links = stage(drawn.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct())
+        if links.isEmpty():
             return labels
 
 
