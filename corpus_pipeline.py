@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose three-word shingles are nine tenths alike."""
-    return jaccard.first_of_each(docs)
+    """One document of each group whose five-word shingles are four fifths alike."""
+    return jaccard.first_of_each(docs, size=5, per_cent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

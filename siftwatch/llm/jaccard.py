@@ -35,8 +35,9 @@ from siftwatch.staging import stage
 SIZE = 3
 #: Two sets link when 100 * |intersection| >= PER_CENT * |union|.
 PER_CENT = 90
-#: Segments beyond those that must be there, so that an empty segment seldom has to count as agreement.
-SPARE = 2
+#: Segments beyond those that must be there, and more per segment expected to be empty, so that an empty segment seldom
+#: has to count as agreement.
+SPARE, SPARE_PER_EMPTY = 2, 4
 #: Shingles in one slice of a block.
 SLICE = 500_000
 #: Size of the filter that holds back texts of no candidate class; eight megabytes.
@@ -124,16 +125,25 @@ def differing(size: int, per_cent: int) -> int:
     return 2 * size * (100 - per_cent) // (100 + per_cent)
 
 
+def spare(size: int, d: int) -> int:
+    """Segments beyond d + 1 for sets of ``size`` shingles: some of d + 1 are empty, few at 0.9, one in ninety at 0.8."""
+    return SPARE + int(SPARE_PER_EMPTY * (d + 1) * np.exp(-size / (d + 1)))
+
+
 def meetings(shingles: np.ndarray, per_cent: int) -> np.ndarray:
     """Hashes under which a set is listed: its segments, in its own band and the next one."""
     starts = bands(per_cent)
-    own = int(np.searchsorted(starts, len(shingles), "right")) - 1
+    n = len(shingles)
+    own = int(np.searchsorted(starts, n, "right")) - 1
     out = []
     for band in (own, own + 1):
-        d = differing(int(starts[band + 1]) - 1, per_cent)
+        most = int(starts[band + 1]) - 1
+        d = differing(most, per_cent)
         if not d:
             continue  # only equal sets link
-        k = d + 1 + SPARE
+        k = d + 1 + spare(most, d)
+        # A set smaller than its band's largest has smaller partners, and differs from them in less than d.
+        d = (n + min(most, n * 100 // per_cent)) * (100 - per_cent) // (100 + per_cent)
         place = mixed(shingles + step(band))
         segment = (place >> np.uint64(33)) % np.uint64(k)
         sums = np.zeros(k, np.uint64)

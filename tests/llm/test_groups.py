@@ -100,6 +100,51 @@ def test_segments_lose_no_link():
                 assert np.intersect1d(jc.meetings(a, 90), jc.meetings(b, 90)).size or np.array_equal(a, b)
 
 
+@pytest.mark.parametrize("per_cent", [80, 90])
+def test_segments_lose_no_link_at_the_limit(per_cent):
+    rng = np.random.default_rng(4)
+    for n in [5, 9, 10, 25, 60, 200, 1000, 1249, 1250, 4000]:
+        for _ in range(20):
+            # The smaller side at and near its least size, where sets differ most and bands meet.
+            m = rng.integers(-(-per_cent * n // 100), n + 1)
+            both = -(-per_cent * (n + m) // (100 + per_cent))
+            if both > m:
+                continue
+            x = np.unique(rng.integers(0, 1 << 60, n + m - both).astype(np.uint64))
+            x = rng.permutation(x)
+            a, b = np.sort(x[:n]), np.sort(x[n - both :])
+            assert np.array_equal(a, b) or np.intersect1d(jc.meetings(a, per_cent), jc.meetings(b, per_cent)).size
+
+
+def test_sets_that_share_nothing_seldom_meet_at_four_fifths():
+    rng = np.random.default_rng(5)
+    for n in [300, 1001, 1100, 1249, 3000]:
+        keys = Counter(k for _ in range(100) for k in jc.meetings(np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)), 80).tolist())
+        assert max(keys.values()) <= 2, n
+
+
+def test_near_duplicate_stage_takes_five_words_at_four_fifths(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        base = [f"w{i}_{k}" for k in range(200)]
+        rows += [(10 * i + j, " ".join(edited(rng, base, e))) for j, e in enumerate((0, 2, 3, 4, 5, 9))]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(spark, rows), "").collect()}
+    sets = {d: shingles(t, 5) for d, t in rows}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    want = set()
+    for i in range(40):  # bases share nothing
+        left = [10 * i + j for j in range(6)]
+        while left:
+            group = [left.pop(0)]
+            for a in group:
+                near = [b for b in left if alike(a, b)]
+                group += near
+                left = [b for b in left if b not in near]
+            want.add(min(group))
+    assert kept == want and kept < {d for d, (_, c) in brute_groups(rows).items() if c == d}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(200, 201), (201, 202), (202, 200)]
     got = {r.v: r.root for r in jc.components(stage(spark.createDataFrame(edges, "a long, b long"))).collect()}
