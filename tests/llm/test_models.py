@@ -170,3 +170,22 @@ def test_quality_edges(spark):
     nothing = {r.doc_id: r.kept for r in kn.judged(docs, labels.limit(0)).collect()}
     assert nothing[2] and nothing[4] and not nothing[0]
     assert kn.judged(docs.limit(0), labels).count() == 0
+
+
+def test_rare_languages_are_not_judged_by_others(spark, tables):
+    docs, labels = tables["documents"], tables["labels"]
+    rows = labels.join(docs.select("doc_id", "lang"), "doc_id").orderBy("doc_id").collect()
+    clean = [r for r in rows if r.quality == 1 and not r.toxic]
+    left = {r.doc_id for h in (0, 1) for r in [r for r in clean if r.lang == "es" and zlib.crc32(str(r.doc_id).encode()) % 2 == h][:3]}
+    gone = [r.doc_id for r in clean if r.lang == "de" or r.lang == "es" and r.doc_id not in left]
+    rare = labels.where(~F.col("doc_id").isin(gone))
+    got = {r.doc_id: r for r in kn.judged(docs, rare).collect()}
+    assert all(got[d].kept for d in gone)
+    bad = [r.doc_id for r in rows if r.lang == "es" and r.quality == 0]
+    assert sum(got[d].kept for d in bad) <= 0.6 * len(bad)
+    assert {r.threshold for r in got.values() if r.lang == "de"} == {math.inf}
+    held = [got[d].perplexity for d in left if zlib.crc32(str(d).encode()) % 2]
+    assert {r.threshold for r in got.values() if r.lang == "es"} == {kn.MARGIN * max(held)}
+    assert {r.doc_id for r in kn.accepted(docs, rare).collect()} == {d for d, r in got.items() if r.kept}
+    none = kn.judged(docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))), rare)
+    assert {r.threshold for r in none.where("lang IS NULL").collect()} == {kn.MARGIN * max(held)}
