@@ -70,13 +70,16 @@ def run(
 
     Without ``vectors`` the texts are tokenised once. Duplicates are found in the wide sparse space, clusters and
     similarities use the dense vectors folded from it. With ``vectors`` (row_id, embedding) and ``incident_vectors``
-    (idx, embedding), such as a user's encoder gives (``encoded``), all three use those.
+    (idx, embedding), such as a user's encoder gives (``encoded``), all three use those; a threat without one gets zeros.
     """
     idf = None
     if vectors is not None:
         if incident_vectors is None:
             raise ValueError("given vectors need incident vectors of the same encoder")
-        given = stage(threats.select("row_id").join(vectors.select("row_id", "embedding"), "row_id"))
+        some = vectors.select("embedding").unionByName(incident_vectors.select("embedding")).where("embedding IS NOT NULL").first()
+        zeros = F.lit([0.0] * len(some[0]) if some else []).cast(vectors.schema["embedding"].dataType)
+        given = threats.select("row_id").join(vectors.select("row_id", "embedding"), "row_id", "left")
+        given = stage(given.withColumn("embedding", F.coalesce("embedding", zeros)))
         duplicates = dedup.find_duplicates(given, threshold=threshold)
         vectors, references = stage(given.join(duplicates.removed, "row_id", "left_anti")), incident_vectors
     else:

@@ -9,7 +9,7 @@ from siftwatch.operators import scoring
 from siftwatch.plans import pipeline
 from siftwatch.sources import incidents, schemas, tables
 
-from conftest import greedy
+from conftest import greedy, vector_table
 
 
 def test_whole_run_and_what_it_saves(spark, tmp_path):
@@ -63,3 +63,13 @@ def test_run_on_the_vectors_of_an_encoder(spark):
     assert {r.row_id for r in done.scored.collect()} == set(range(42)) - gone and done.idf is None
     with pytest.raises(ValueError):
         pipeline.run(threats, incidents.incidents(spark), vectors=done.labelled)
+
+
+def test_threats_without_a_given_vector_stay(spark):
+    rows = [(i, str(i), f"n{i}", "x", "", "2024-01-02", "", "feed", "a") for i in range(12)]
+    threats = spark.createDataFrame(rows, schemas.THREAT)
+    given = vector_table(spark, np.eye(12)).where("row_id < 9").unionByName(spark.createDataFrame([(9, None)], "row_id bigint, embedding array<double>"))
+    refs = vector_table(spark, np.eye(12)[:3]).select(F.col("row_id").cast("int").alias("idx"), "embedding")
+    done = pipeline.run(threats, incidents.incidents(spark), k=3, restarts=2, vectors=given, incident_vectors=refs)
+    scored = {r.row_id: r for r in done.scored.collect()}
+    assert set(scored) == set(range(12)) and all(scored[i].similarity_score == 0 for i in (9, 10, 11))
