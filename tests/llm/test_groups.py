@@ -28,8 +28,8 @@ def shingles(text, size=3):
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def brute_groups(rows, per_cent=90):
-    sets = [shingles(t) for _, t in rows]
+def brute_groups(rows, per_cent=90, size=3):
+    sets = [shingles(t, size) for _, t in rows]
     group = list(range(len(rows)))
     for i, a in enumerate(sets):
         for j in range(i):
@@ -264,7 +264,7 @@ def test_pipeline_stages(spark, sf, stages):
         good = [d for d in rows[i - 1] if labels.get(d) == 1 and len(words(rows[0][d].text)) >= 60]
         assert sum(d in rows[i] for d in good) >= 0.97 * len(good)
     assert sum(labels.get(d) == 0 for d in rows[2]) < 0.35 * sum(x == 0 for x in labels.values())
-    want = brute_groups([(d, r.text) for d, r in sorted(rows[2].items())])
+    want = brute_groups([(d, r.text) for d, r in sorted(rows[2].items())], per_cent=80, size=5)
     assert set(rows[3]) == {d for d, (_, c) in want.items() if c == d}
     bench = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/benchmark.parquet")
     hit = {r.doc_id for r in contamination.report(stages[3], bench).where("contaminated").collect()}
