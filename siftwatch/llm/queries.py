@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, ring, rule_forest, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, ring, rule_forest, simhash, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of every document's three-word shingles, linked at two differing bits or fewer."""
+    return simhash.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_records": op2_token_records,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_ring": op9_ring,
     "op10_language_id": op10_language_id,
+    "op13_simhash": op13_simhash,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
