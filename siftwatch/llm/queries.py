@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, ring, rule_forest, simhash, token_records, warc
+from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, lexical_search, ring, rule_forest, simhash, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_predictions(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item by an integer BM25-like score, searched in sparse ball trees."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of every document's three-word shingles, linked at two differing bits or fewer."""
     return simhash.grouped(table(spark, sf_dir, "documents"))
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_pairs": op8_byte_pairs,
     "op9_ring": op9_ring,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
     "op13_simhash": op13_simhash,
 }
 
@@ -168,4 +174,31 @@ ORACLE: dict[str, str] = {
         FROM d LEFT JOIN sizes USING (doc_id)
             LEFT JOIN (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a) USING (doc_id)
     """,
+    "op11_lexical_search": rf"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS t FROM documents WHERE doc_id IS NOT NULL
+        ), sizes AS (
+            SELECT doc_id, sum(len(t)) AS n FROM d GROUP BY doc_id
+        ), stats AS (
+            SELECT count(*) FILTER (WHERE n > 0) AS big_n, sum(n) AS big_l FROM sizes
+        ), qt AS (
+            SELECT item_id, term, count(*) AS qtf
+            FROM (SELECT item_id, unnest(regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark)
+            GROUP BY ALL
+        ), p AS (
+            SELECT doc_id, term, count(*) AS tf
+            FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2.0 * big_n + 2.0) / (2.0 * count(*) + 1.0))) AS BIGINT) AS w
+            FROM p, stats GROUP BY term, big_n
+        ), v AS (
+            SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)) AS v
+            FROM p JOIN sizes USING (doc_id), stats
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * qtf * v) AS BIGINT) AS score FROM qt JOIN w USING (term) JOIN v USING (term) GROUP BY ALL
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
