@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwatch.llm import byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, lexical_search, ring, rule_forest, simhash, token_records, warc
+from siftwatch.llm import alignment, byte_pairs, contamination, gru_lm, jaccard, kneser_ney, language_id, lexical_search, ring, rule_forest, simhash, token_records, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the byte-level BPE and the sentencepiece tokens of every document, with corpus counts."""
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(table(spark, sf_dir, "documents"), a, b).drop("groups")
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of every document's three-word shingles, linked at two differing bits or fewer."""
     return simhash.grouped(table(spark, sf_dir, "documents"))
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ring": op9_ring,
     "op10_language_id": op10_language_id,
     "op11_lexical_search": op11_lexical_search,
+    "op12_alignment": op12_alignment,
     "op13_simhash": op13_simhash,
 }
 
