@@ -1,9 +1,10 @@
 """Exact cosine similarity join and first-wins removal on sparse TF-IDF vectors, by prefix filtering.
 
-Every unit vector orders its buckets from the rarest to the most common. Its prefix is the shortest run of buckets
-after which the rest has a norm below the threshold: two vectors at or above the threshold must share a prefix
-bucket, since what lies outside cannot reach it. So only rows that share a rare bucket are ever compared, and the
-bound is exact: nothing at or above the threshold is missed.
+Tokens are keyed by 64 bits, so no two words share a weight and nothing has a fixed width; their document
+frequencies are a dictionary table joined to the rows' terms. Every unit vector orders its terms from the rarest to
+the most common. Its prefix is the shortest run of terms after which the rest has a norm below the threshold: two
+vectors at or above the threshold must share a prefix term, since what lies outside cannot reach it. So only rows that
+share a rare term are ever compared, and the bound is exact: nothing at or above the threshold is missed.
 
 Lists of near copies are thinned before pairs are formed (``leader_rounds``): a row that comes first in all its
 prefix lists surely survives, is compared once with the members of those lists, and removes what it matches. That is
@@ -39,32 +40,52 @@ SLICE_ROWS = 65_536
 # buckets of more rows than EXTEND_ROWS, so it adds no long list.
 MARGIN = 0.05
 EXTEND_ROWS = 512
+# A term dictionary up to this many terms (16 bytes each) is copied to every executor; a larger one is joined.
+BROADCAST_TERMS = 1_000_000
 PAIR_SCHEMA = "i bigint, j bigint, sim double"
 UNIT_SCHEMA = (
-    "row_id bigint, idx array<int>, val array<double>, prefix_idx array<int>, prefix_val array<double>, "
+    "row_id bigint, idx array<bigint>, val array<double>, prefix_idx array<bigint>, prefix_val array<double>, "
     "rest double, self_sim double"
 )
 
 
-def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> DataFrame:
-    """Unit vectors in bucket order with their prefix: narrow, one pass. Rows without tokens drop out (they match
-    nothing). ``rest`` is the norm of what is outside the prefix."""
-    dim, weights, frequency = idf.dim, idf.weights, idf.df
-    # The common order of the buckets: rarest first, equal frequencies by number.
-    rank = np.empty(dim, dtype=np.int64)
-    rank[np.lexsort((np.arange(dim), idf.df))] = np.arange(dim)
+def frequencies(terms: DataFrame) -> DataFrame:
+    """The term dictionary: ``(term, df)``, one row per distinct 64-bit token key."""
+    return terms.select(F.explode("idx").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def with_frequencies(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``(row_id, idx, tf, df)``: every row's terms (ascending) with their document frequencies, joined from the
+    dictionary table. A dictionary of at most ``BROADCAST_TERMS`` rows, counted first, goes to every executor; a
+    larger one is joined by a shuffle in which a term of many rows is salted over several tasks."""
+    entries = terms.select("row_id", F.explode(F.arrays_zip("idx", "tf")).alias("e")).select(
+        "row_id", F.col("e.idx").alias("term"), F.col("e.tf").alias("tf")
+    )
+    if dictionary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        joined = entries.join(F.broadcast(dictionary), "term")
+    else:
+        joined = salted_join(entries, dictionary, "term", spread="row_id")
+    rows = joined.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf", "df"))).alias("e"))
+    return rows.select("row_id", F.col("e.term").alias("idx"), F.col("e.tf").alias("tf"), F.col("e.df").alias("df"))
+
+
+def sparse_units(weighted: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """Unit vectors with their prefix: narrow, one pass over ``with_frequencies``. Rows without tokens are absent
+    (they match nothing). Terms are ordered rarest first, equal frequencies by key; ``rest`` is the norm of what is
+    outside the prefix."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.bounded(batches, 1):
             n = batch.num_rows
             row, idx = arrays.ragged(batch.column(1))
             _, tf = arrays.ragged(batch.column(2))
-            val = tf * weights[idx]
+            _, df = arrays.ragged(batch.column(3))
+            val = tf * np.log((n_rows + 1) / (df + 1.0))
             norm = np.sqrt(np.bincount(row, weights=val * val, minlength=n))
             val = val / (norm + 1e-8)[row]
             lengths = np.bincount(row, minlength=n)
             own = np.bincount(row, weights=val * val, minlength=n)
-            order = np.lexsort((rank[idx], row))
+            order = np.lexsort((idx, df, row))
             square = (val * val)[order]
             # Squared norm of each entry and everything more common than it, within its row.
             total = np.cumsum(square)
@@ -72,17 +93,17 @@ def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> Data
             end_total = np.concatenate(([0.0], total))[row_end]
             tail = end_total[row] - total + square
             needed = tail >= (threshold - SLACK) ** 2
-            # Frequencies ascend along the order, so what is kept is still one run from the rarest bucket on.
-            inside = needed | ((tail >= (threshold - MARGIN) ** 2) & (frequency[idx[order]] <= EXTEND_ROWS))
+            # Frequencies ascend along the order, so what is kept is still one run from the rarest term on.
+            inside = needed | ((tail >= (threshold - MARGIN) ** 2) & (df[order] <= EXTEND_ROWS))
             head = order[inside]
             rest = np.sqrt(np.maximum(own - np.bincount(row[inside], weights=square[inside], minlength=n), 0.0))
             head_n = np.bincount(row[inside], minlength=n)
             out = pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    arrays.lists(idx.astype(np.int32), lengths),
+                    arrays.lists(idx.astype(np.int64), lengths),
                     arrays.lists(val, lengths),
-                    arrays.lists(idx[head].astype(np.int32), head_n),
+                    arrays.lists(idx[head].astype(np.int64), head_n),
                     arrays.lists(val[head], head_n),
                     pa.array(rest),
                     pa.array(own),
@@ -91,7 +112,14 @@ def sparse_units(terms: DataFrame, idf: vectorize.Idf, threshold: float) -> Data
             )
             yield out.filter(pa.array(head_n > 0))
 
-    return terms.select("row_id", "idx", "tf").mapInArrow(build, UNIT_SCHEMA)
+    return weighted.select("row_id", "idx", "tf", "df").mapInArrow(build, UNIT_SCHEMA)
+
+
+def units_of(df: DataFrame, text: str, threshold: float, terms: DataFrame | None = None) -> DataFrame:
+    """The written unit vectors of a text column: tokens keyed by 64 bits, frequencies from the dictionary table."""
+    terms = terms if terms is not None else stage(vectorize.keyed_terms(df, text))
+    weighted = stage(with_frequencies(terms, stage(frequencies(terms))))
+    return stage(sparse_units(weighted, terms.count(), threshold))
 
 
 def postings(units: DataFrame) -> DataFrame:
@@ -115,9 +143,11 @@ def verify(candidates: DataFrame, units: DataFrame, threshold: float, n: int) ->
             row_b, idx_b = arrays.ragged(batch.column("ij"))
             _, val_a = arrays.ragged(batch.column("vi"))
             _, val_b = arrays.ragged(batch.column("vj"))
-            # Both key lists ascend (rows in order, buckets in order), so shared entries are found by search.
-            width = 1 + max(idx_a.max(initial=0), idx_b.max(initial=0))
-            key_a, key_b = row_a * np.int64(width) + idx_a, row_b * np.int64(width) + idx_b
+            # Terms as codes in their own order; both key lists then ascend (rows in order, terms in order), so shared
+            # entries are found by search.
+            terms, code = np.unique(np.concatenate([idx_a, idx_b]), return_inverse=True)
+            width = np.int64(max(len(terms), 1))
+            key_a, key_b = row_a * width + code[: len(idx_a)], row_b * width + code[len(idx_a) :]
             at = np.minimum(np.searchsorted(key_b, key_a), max(len(key_b) - 1, 0))
             same = key_b[at] == key_a if len(key_b) else np.zeros(len(key_a), dtype=bool)
             sim = np.bincount(row_a[same], weights=val_a[same] * val_b[at[same]], minlength=batch.num_rows)
@@ -218,14 +248,12 @@ def find_duplicates(
     text: str = "description",
     threshold: float = dedup.THRESHOLD,
     terms: DataFrame | None = None,
-    width: int = vectorize.WIDE,
     pairs_per_entry: float = PAIRS_PER_ENTRY,
 ) -> dedup.Duplicates:
-    """First-wins duplicates of a text column by the cosine of its TF-IDF vectors in ``width`` buckets; exact."""
+    """First-wins duplicates of a text column by the cosine of its TF-IDF vectors over 64-bit token keys; exact.
+    ``terms``, if given, is ``vectorize.keyed_terms`` of the column."""
     dedup.check_threshold(threshold)
-    terms = terms if terms is not None else stage(vectorize.term_counts(df, text, width))
-    idf = vectorize.fit_idf(terms, width)
-    units = stage(sparse_units(terms, idf, threshold))
+    units = units_of(df, text, threshold, terms)
     # Only rows that match themselves fold with their copies; the others keep a key of their own.
     own = F.when(F.col("self_sim") >= threshold, F.lit(None).cast("bigint")).otherwise(F.col("row_id"))
     key = F.struct(

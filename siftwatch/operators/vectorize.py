@@ -1,9 +1,9 @@
 """Text to vectors: hashed TF-IDF as Spark jobs, and any user-supplied encoder.
 
-One pass over the texts gives ``terms``: per row the wide buckets of its tokens and their counts. That pass and
-everything made from it is narrow; only document frequencies are aggregated, and they hold at most one row per
-bucket. The dense vectors fold the wide buckets into ``dim``; the wide space keeps rare words apart, which is what
-makes the text similarity join selective.
+One pass over the texts gives ``terms``: per row the buckets of its tokens and their counts. That pass and everything
+made from it is narrow; only document frequencies are aggregated, and they hold at most one row per bucket. The dense
+vectors fold the buckets into ``dim``. The text similarity join keys tokens by 64 bits instead (``keyed_terms``), so
+that no two words share a weight; its document frequencies are a table, not an array of fixed width.
 """
 
 from __future__ import annotations
@@ -37,6 +37,32 @@ def token_buckets(text, width: int) -> Column:
     return F.coalesce(hashed, F.array().cast("array<int>"))
 
 
+def token_keys(text) -> Column:
+    """64-bit key of every token, XXH64 of its text: a term dictionary without a fixed width."""
+    c = F.col(text) if isinstance(text, str) else text
+    tokens = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+    return F.coalesce(F.transform(tokens, lambda t: F.xxhash64(t)), F.array().cast("array<bigint>"))
+
+
+def keyed_terms(df: DataFrame, text: str = "description") -> DataFrame:
+    """``(row_id, idx, tf)``: distinct token keys in ascending order with their counts; blank text has none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.bounded(batches, 1):
+            row, key = arrays.ragged(batch.column(1))
+            order = np.lexsort((key, row))
+            row, key = row[order], key[order]
+            starts = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[starts, len(row)])
+            lengths = np.bincount(row[starts], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), arrays.lists(key[starts].astype(np.int64), lengths), arrays.lists(n.astype(np.int32), lengths)],
+                names=["row_id", "idx", "tf"],
+            )
+
+    return df.select("row_id", token_keys(text).alias("k")).mapInArrow(count, "row_id bigint, idx array<bigint>, tf array<int>")
+
+
 def term_counts(df: DataFrame, text: str = "description", width: int = WIDE) -> DataFrame:
     """``(row_id, idx, tf)``: distinct buckets in ascending order with their counts; blank text has none."""
 

@@ -82,11 +82,13 @@ RELEVANT = " OR ".join(
 KEPT = f"(length(description) >= 100 AND ({RELEVANT}) AND name <> '')"
 
 
-def tfidf(width: int) -> str:
-    """Unit TF-IDF cells ``unit(id, b, w)`` of the documents and ``ref(idx, b, w)`` of the incidents."""
+def tfidf(width: int | None) -> str:
+    """Unit TF-IDF cells ``unit(id, b, w)`` of the documents and ``ref(idx, b, w)`` of the incidents; ``b`` is the
+    token's md5 bucket, or with no width the token itself."""
+    bucket = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {width}" if width else "t"
 
     def cells(table: str, key: str) -> str:
-        return f"""SELECT {key} AS id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {width} AS b, count(*) AS n
+        return f"""SELECT {key} AS id, {bucket} AS b, count(*) AS n
   FROM (SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS t FROM {table})
   WHERE t <> '' GROUP BY ALL"""
 
@@ -103,7 +105,7 @@ ref AS (
         FROM rtf LEFT JOIN idf USING (b)))"""
 
 
-TEXT_PAIRS = f"""{tfidf(384 * 1024)},
+TEXT_PAIRS = f"""{tfidf(None)},
 pairs AS MATERIALIZED (
   SELECT x.id AS i, y.id AS j, sum(x.w * y.w) AS sim FROM unit x JOIN unit y ON x.b = y.b AND x.id < y.id
   GROUP BY ALL HAVING sum(x.w * y.w) >= {T}::DOUBLE)"""

@@ -84,7 +84,7 @@ def run(
         vectors, references = stage(given.join(duplicates.removed, "row_id", "left_anti")), incident_vectors
     else:
         terms = stage(vectorize.term_counts(threats, text))
-        duplicates = textjoin.find_duplicates(threats, text, threshold, terms=terms)
+        duplicates = textjoin.find_duplicates(threats, text, threshold)
         idf = vectorize.fit_idf(terms)
         kept = terms.join(duplicates.removed, "row_id", "left_anti")
         vectors = stage(vectorize.dense_vectors(kept, idf))

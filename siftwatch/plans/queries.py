@@ -299,9 +299,7 @@ def near_dup_pairs(spark, sf):
 
 @query
 def text_near_dup_pairs(spark, sf):
-    terms = stage(vectorize.term_counts(fx.threats(spark, sf)))
-    idf = vectorize.fit_idf(terms, vectorize.WIDE)
-    units = stage(textjoin.sparse_units(terms, idf, dedup.THRESHOLD))
+    units = textjoin.units_of(fx.threats(spark, sf), "description", dedup.THRESHOLD)
     return rounded(textjoin.pairs_above(units, dedup.THRESHOLD), "sim")
 
 

@@ -13,7 +13,8 @@ from siftwatch.staging import stage
 
 
 def bucket(token, width):
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width
+    """A token's md5 bucket; without a width, the token itself (the text join keys whole tokens)."""
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width if width else token
 
 
 def tfidf(texts, width):
@@ -49,7 +50,7 @@ def near_copies(n=150, seed=2):
 @pytest.mark.parametrize("pairs_per_entry", [32, 0.0])
 def test_text_duplicates_match_brute_force(spark, pairs_per_entry):
     texts = near_copies()
-    m, _ = tfidf(texts, vectorize.WIDE)
+    m, _ = tfidf(texts, None)
     found = textjoin.find_duplicates(table(spark, texts), pairs_per_entry=pairs_per_entry)
     pairs = [(r.i, r.j) for r in found.pairs.collect()]
     gone = {r.row_id for r in found.removed.collect()}
@@ -60,17 +61,15 @@ def test_text_duplicates_match_brute_force(spark, pairs_per_entry):
 @pytest.mark.parametrize("threshold", [0.5, 0.95])
 def test_prefix_filter_loses_no_pair(spark, threshold):
     texts = near_copies(n=90, seed=4)
-    sims = cosines(tfidf(texts, vectorize.WIDE)[0])
-    terms = stage(vectorize.term_counts(table(spark, texts)))
-    units = stage(textjoin.sparse_units(terms, vectorize.fit_idf(terms, vectorize.WIDE), threshold))
+    sims = cosines(tfidf(texts, None)[0])
+    units = textjoin.units_of(table(spark, texts), "description", threshold)
     got = {(r.i, r.j) for r in textjoin.pairs_above(units, threshold).collect()}
     assert got == {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sims[i, j] >= threshold}
 
 
 def test_long_lists_are_cut_without_loss(spark):
     texts = near_copies(n=60, seed=6)
-    terms = stage(vectorize.term_counts(table(spark, texts)))
-    units = stage(textjoin.sparse_units(terms, vectorize.fit_idf(terms, vectorize.WIDE), 0.6))
+    units = textjoin.units_of(table(spark, texts), "description", 0.6)
     entries = textjoin.postings(units)
     whole = {(r.i, r.j) for r in textjoin.candidate_pairs(entries, 0.6).collect()}
     cut = {(r.i, r.j) for r in textjoin.candidate_pairs(entries, 0.6, list_rows=4).collect()}
@@ -80,14 +79,33 @@ def test_long_lists_are_cut_without_loss(spark):
 def test_leader_rounds_decide_near_copies_without_pairs(spark):
     shared = " ".join(f"s{i}" for i in range(200))
     texts = [f"{shared} own{i}" for i in range(40)] + [f"x{i} y{i} z{i}" for i in range(40)]
-    terms = stage(vectorize.term_counts(table(spark, texts)))
-    units = stage(textjoin.sparse_units(terms, vectorize.fit_idf(terms, vectorize.WIDE), 0.7))
+    units = textjoin.units_of(table(spark, texts), "description", 0.7)
     done = textjoin.leader_rounds(units, 0.7, pairs_per_entry=1.0)
     assert done.rounds == 1
     assert {r.row_id for r in done.removed[0].collect()} == set(range(1, 40))
     assert done.entries.count() == 0
 
 
+def test_words_of_one_old_bucket_stay_apart(spark):
+    # tok279 and tok557 share a bucket of 393,216: keyed by 64 bits they are different words
+    texts = ["tok279 alpha beta gamma", "tok557 alpha beta gamma", "delta epsilon", "zeta eta"]
+    sims = cosines(tfidf(texts, None)[0])
+    assert sims[0, 1] < 0.8 < cosines(tfidf(texts, 393216)[0])[0, 1]
+    units = textjoin.units_of(table(spark, texts), "description", 0.4)
+    got = {(r.i, r.j): r.sim for r in textjoin.pairs_above(units, 0.4).collect()}
+    assert set(got) == {(0, 1)} and abs(got[(0, 1)] - sims[0, 1]) < 1e-9
+
+
+def test_dictionary_joined_by_shuffle_equals_broadcast(spark, monkeypatch):
+    texts = near_copies(n=60, seed=8)
+    terms = stage(vectorize.keyed_terms(table(spark, texts)))
+    words = stage(textjoin.frequencies(terms))
+    small = sorted(map(tuple, textjoin.with_frequencies(terms, words).collect()))
+    monkeypatch.setattr(textjoin, "BROADCAST_TERMS", 1)
+    assert sorted(map(tuple, textjoin.with_frequencies(terms, words).collect())) == small
+    assert all(list(r[1]) == sorted(r[1]) for r in small)
+
+
 def test_long_batches_are_cut_by_elements():
     import pyarrow as pa
 
