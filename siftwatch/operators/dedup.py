@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from siftwatch.operators import simjoin
+from siftwatch.operators.graph import first_wins
 from siftwatch.operators.skew import ROWS_PER_SALT, renumber, salted_join
 from siftwatch.staging import stage
 
@@ -49,12 +50,23 @@ def fold_copies(rows: DataFrame, key) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def resolve(edges: DataFrame, undecided: DataFrame | None = None, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+#: Rounds of ``resolve`` before the rest is decided per connected component.
+ROUNDS_BEFORE_COMPONENTS = 4
+
+
+def resolve(
+    edges: DataFrame,
+    undecided: DataFrame | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
+    max_rounds: int | None = None,
+) -> DataFrame:
     """Ids removed by first-wins on the graph ``edges (i, j)``, ``i < j``, a written table.
 
     Every round takes the rows that no remaining smaller row matches (they survive) and removes all rows they match;
-    edges at removed rows disappear. The number of rounds is the longest chain of decisions, not the row count.
-    Rows in ``undecided`` are never taken for survivors.
+    edges at removed rows disappear, and with them the survivors. Without ``max_rounds`` the number of rounds is the
+    longest chain of decisions. After ``max_rounds`` rounds what is left (a graph of undecided rows only) is decided
+    per connected component (``graph.first_wins``), in rounds logarithmic in its longest path. Rows in ``undecided``
+    are never taken for survivors.
     """
     spark = edges.sparkSession
     left = edges.select("i", "j")
@@ -63,6 +75,9 @@ def resolve(edges: DataFrame, undecided: DataFrame | None = None, rows_per_salt:
         n = left.count()
         if n == 0:
             break
+        if max_rounds is not None and len(rounds) >= max_rounds:
+            rounds.append(stage(first_wins(left, undecided, fallback=resolve).select(F.col("row_id").alias("j"))))
+            break
         roots = left.select("i").distinct().join(left.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
         if undecided is not None:
             roots = roots.join(undecided.select(F.col("row_id").alias("i")), "i", "left_anti")
@@ -129,7 +144,7 @@ def find_duplicates(
     while True:
         edges = stage(simjoin.first_neighbours(live, threshold, neighbours, block_rows))
         cut = edges.where("cut").select(F.col("j").alias("row_id")).distinct()
-        dead = stage(resolve(edges, undecided=cut))
+        dead = stage(resolve(edges, undecided=cut, max_rounds=ROUNDS_BEFORE_COMPONENTS))
         removed = dead if removed is None else removed.unionByName(dead)
         if removed is dead and edges.where("cut").isEmpty():
             complete = edges

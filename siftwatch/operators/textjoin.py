@@ -267,7 +267,7 @@ def find_duplicates(
     candidates = stage(candidate_pairs(thinned.entries, threshold, longest=thinned.longest))
     n_candidates = candidates.count()
     edges = stage(verify(candidates, graph, threshold, n_candidates))
-    removed = dedup.resolve(edges)
+    removed = dedup.resolve(edges, max_rounds=dedup.ROUNDS_BEFORE_COMPONENTS)
     for gone in thinned.removed:
         removed = removed.unionByName(gone)
     removed = stage(removed)
