@@ -45,6 +45,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values of the ranking: the term pattern, k1 (as 1000 and 8 per mille per unit of m) and b (75 in 100).
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: the complement of TERM (splitting is cheaper than extracting matches in the JVM).
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 10
 #: Queries per block and documents per shard: a task holds one block's queries and one shard's vectors.
 QUERIES_PER_BLOCK = 64
@@ -57,26 +59,30 @@ MAX_BROADCAST_TERMS = 2_000_000
 
 def terms_of(text: str):
     """Column: the array of a text's terms (null text: empty)."""
-    return F.coalesce(F.regexp_extract_all(F.translate(F.col(text), UPPER, LOWER), F.lit(TERM), 0), F.array().cast("array<string>"))
+    parts = F.filter(F.split(F.translate(F.col(text), UPPER, LOWER), GAP), lambda t: t != "")
+    return F.coalesce(parts, F.array().cast("array<string>"))
 
 
 def doc_vectors(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, term, v) for the vocabulary's terms, and (term, w) for those that some document holds."""
+    """(doc_id, tid, v) for the vocabulary's terms, and (tid, w) for those that some document holds. ``vocab`` is
+    (term, tid). One pass over the texts keeps each row's size and its occurrences of vocabulary terms."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), terms_of(text_col).alias("terms"))
-    sizes = stage(rows.groupBy("doc_id").agg(F.sum(F.size("terms")).alias("n")))
-    stats = sizes.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("L"))
-    big_n, big_l = stats.first()
-    exploded = rows.select("doc_id", F.explode("terms").alias("term"))
+    each = rows.select("doc_id", F.size("terms").alias("n"), F.posexplode_outer("terms").alias("pos", "term"))
     if vocab.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
-        kept = exploded.join(F.broadcast(vocab), "term", "left_semi")
+        marked = each.join(F.broadcast(vocab), "term", "left")
     else:
-        kept = exploded.join(vocab, "term", "left_semi")  # adaptive execution splits a hot term's partition
-    postings = stage(kept.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+        marked = each.join(vocab, "term", "left")  # adaptive execution splits a hot term's partition
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    kept = stage(marked.where(F.col("tid").isNotNull() | first).select("doc_id", "n", first.alias("first"), "tid"))
+    sizes = stage(kept.where("first").groupBy("doc_id").agg(F.sum("n").alias("n")))
+    stats = sizes.agg(F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("L"))
+    big_n, big_l = stats.first()
+    postings = stage(kept.where(F.col("tid").isNotNull()).groupBy("doc_id", "tid").agg(F.count(F.lit(1)).alias("tf")))
     ln = F.log((2.0 * F.lit(big_n) + 2.0) / (2.0 * F.col("df") + 1.0))
-    weights = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.floor(1000.0 * ln).cast("long").alias("w"))
+    weights = postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).select("tid", F.floor(1000.0 * ln).cast("long").alias("w"))
     m = F.lit(25) + F.expr(f"(75L * n * {int(big_n)}L) div {max(int(big_l), 1)}L")
     v = F.expr("(1000000000L * tf) div (1000L * tf + 8L * m)")
-    vectors = postings.join(sizes, "doc_id").withColumn("m", m).select("doc_id", "term", v.alias("v"))
+    vectors = postings.join(sizes, "doc_id").withColumn("m", m).select("doc_id", "tid", v.alias("v"))
     return vectors, weights
 
 
@@ -176,7 +182,7 @@ def search_group(docs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     empty = pd.DataFrame({"item_id": pd.Series([], dtype="Int64"), "doc_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="int64")})
     if docs.empty or queries.empty:
         return empty
-    terms, codes = np.unique(np.concatenate([docs["term"].to_numpy(dtype=object), queries["term"].to_numpy(dtype=object)]).astype(str), return_inverse=True)
+    terms, codes = np.unique(np.concatenate([docs["tid"].to_numpy(np.int64), queries["tid"].to_numpy(np.int64)]), return_inverse=True)
     d_cols, q_cols = codes[: len(docs)], codes[len(docs) :]
     ids, rows = np.unique(docs["doc_id"].to_numpy(dtype=np.int64), return_inverse=True)
     tree = BallTree(rows, d_cols, docs["v"].to_numpy(dtype=np.int64), len(ids), len(terms))
@@ -196,23 +202,26 @@ def ranked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """(item_id, rank, doc_id, score) of the ``top`` best documents of every item with a score above 0."""
     qterms = items.select(F.col(item_col).cast("long").alias("item_id"), F.explode(terms_of(item_text)).alias("term"))
     qtf = stage(qterms.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
-    vocab = stage(qtf.select("term").distinct())
+    # term ids: unique 64-bit numbers of a written table, so that tasks meet numbers, not strings
+    vocab = stage(stage(qtf.select("term").distinct()).withColumn("tid", F.monotonically_increasing_id()))
     vectors, weights = doc_vectors(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col)), vocab, id_col, text_col)
-    queries = qtf.join(weights, "term").select("item_id", "term", (F.col("w") * F.col("qtf")).alias("q"))
+    queries = qtf.join(vocab, "term").join(weights, "tid").select("item_id", "tid", (F.col("w") * F.col("qtf")).alias("q"))
     n_items = queries.select("item_id").distinct().count()
     blocks = max(1, -(-n_items // QUERIES_PER_BLOCK))
     block_of = F.pmod(F.xxhash64(F.coalesce(F.col("item_id"), F.lit(-1)), F.col("item_id").isNull()), F.lit(blocks)).cast("int")
     queries = stage(queries.withColumn("block", block_of))
-    block_terms = stage(queries.select("term", "block").distinct())
+    block_terms = stage(queries.select("tid", "block").distinct())
     vectors = stage(vectors)
     n_docs = vectors.select("doc_id").distinct().count()
     shards = max(1, -(-n_docs // DOCS_PER_SHARD))
-    dealt = lookup_join(vectors, block_terms, "term").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+    dealt = lookup_join(vectors, block_terms, "tid").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     spread = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    # one partition per (block, shard): a task holds one shard's vectors, whatever the number of shards
+    tasks = blocks * shards
     found = (
-        dealt.select("block", "shard", "doc_id", "term", "v")
+        dealt.select("block", "shard", "doc_id", "tid", "v").repartition(tasks, "block", "shard")
         .groupBy("block", "shard")
-        .cogroup(spread.select("block", "shard", "item_id", "term", "q").groupBy("block", "shard"))
+        .cogroup(spread.select("block", "shard", "item_id", "tid", "q").repartition(tasks, "block", "shard").groupBy("block", "shard"))
         .applyInPandas(search_group, "item_id long, doc_id long, score long")
     )
     order = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
