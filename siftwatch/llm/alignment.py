@@ -25,6 +25,7 @@ first; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -37,8 +38,10 @@ from siftwatch.llm.token_records import Encoder
 from siftwatch.operators.skew import salted_join
 from siftwatch.staging import stage
 
-#: Documents walked in lockstep at a time.
+#: Documents walked in lockstep at a time, and at most this many characters of text among them (a step's arrays and
+#: the links of a batch grow with its tokens, so long texts go in smaller batches; one text is never cut).
 BATCH = 512
+BATCH_CHARS = 1 << 21
 PAIR_TYPE = "array<struct<a:int,b:int,k:long>>"
 #: Bits of an id in a pair's key: vocabularies up to a million ids.
 ID_BITS = 20
@@ -128,91 +131,125 @@ def walk(a_ends: list[np.ndarray], b_ends: list[np.ndarray]) -> tuple[np.ndarray
     return l_doc, l_a - a_first[l_doc], l_b - b_first[l_doc], np.stack([c_doc, c_a - a_first[c_doc], c_b - b_first[c_doc]]), n_a
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of one document from its ids and the positions of the last token of each group."""
-    a_str, b_str = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, pa_, pb_ = [], 0, 0
-    for ea, eb in zip(cut_a.tolist(), cut_b.tolist()):
-        out.append(",".join(a_str[pa_ : ea + 1]) + "|" + ",".join(b_str[pb_ : eb + 1]))
-        pa_, pb_ = ea + 1, eb + 1
-    return ";".join(out)
+SEPARATORS = (",", "|", ";", "")
 
 
-def align_batch(s: Sides, texts: list[str | None]) -> dict[str, list]:
+def groups_text(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3`` of one document from its ids and the positions of the last token of each group.
+
+    Built in one pass over the tokens: the ids of both sides in group order, each followed by its separator (``,``
+    inside a side, ``|`` after a group's last A id, ``;`` after its last B id, nothing at the very end)."""
+    group_a = np.searchsorted(cut_a, np.arange(len(a)))
+    group_b = np.searchsorted(cut_b, np.arange(len(b)))
+    ids = np.concatenate([a, b])
+    groups = np.concatenate([group_a, group_b])
+    side = np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)]
+    order = np.lexsort((np.arange(len(ids)), side, groups))
+    sep = np.zeros(len(ids), np.int64)
+    sep[cut_a] = 1
+    sep[len(a) + cut_b] = 2
+    sep = sep[order]
+    if len(sep):
+        sep[-1] = 3
+    return "".join(map(str.__add__, map(str, ids[order].tolist()), map(SEPARATORS.__getitem__, sep.tolist())))
+
+
+def align_batch(s: Sides, texts: list[str | None], keep_groups: bool = False) -> dict:
+    """Figures of a batch of texts: per text n_a, n_b, n_groups, n_links, groups_sha256 (and groups), and the links
+    as distinct (text, A id, B id, occurrences) rows in flat arrays."""
     a_ids, b_ids = s.tokens(texts)
     a_ends = [np.cumsum(s.a_len[x]) for x in a_ids]
     b_ends = [np.cumsum(s.b_len[x]) for x in b_ids]
     l_doc, l_a, l_b, cuts, _ = walk(a_ends, b_ends)
     n = len(texts)
-    out = {"n_a": [len(x) for x in a_ids], "n_b": [len(x) for x in b_ids], "n_groups": np.bincount(cuts[0], minlength=n).tolist() if len(l_doc) else [0] * n}
-    out["n_links"] = np.bincount(l_doc, minlength=n).tolist()
-    # links of each document as distinct (A id, B id) pairs with how often they occur
-    pairs: list[list[dict]] = [[] for _ in range(n)]
+    n_a = np.array([len(x) for x in a_ids], np.int64)
+    n_b = np.array([len(x) for x in b_ids], np.int64)
+    out = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(cuts[0], minlength=n) if len(l_doc) else np.zeros(n, np.int64)}
+    out["n_links"] = np.bincount(l_doc, minlength=n)
+    empty = np.zeros(0, np.int64)
+    out["pair_doc"], out["pair_a"], out["pair_b"], out["pair_k"] = empty, empty, empty, empty
+    texts_out = [""] * n
     if len(l_doc):
-        a_first = np.r_[0, np.cumsum(out["n_a"])[:-1]].astype(np.int64)
-        b_first = np.r_[0, np.cumsum(out["n_b"])[:-1]].astype(np.int64)
+        # links of each text as distinct (A id, B id) pairs with how often they occur
+        a_first = np.r_[0, np.cumsum(n_a)[:-1]]
+        b_first = np.r_[0, np.cumsum(n_b)[:-1]]
         all_a, all_b = np.concatenate(a_ids), np.concatenate(b_ids)
         key = (l_doc << 2 * ID_BITS) | (all_a[a_first[l_doc] + l_a] << ID_BITS) | all_b[b_first[l_doc] + l_b]
         keys, counts = np.unique(key, return_counts=True)
         mask = (1 << ID_BITS) - 1
-        for k, c in zip(keys.tolist(), counts.tolist()):
-            pairs[k >> 2 * ID_BITS].append({"a": (k >> ID_BITS) & mask, "b": k & mask, "k": c})
-    texts_out = [""] * n
-    if len(l_doc):
+        out["pair_doc"], out["pair_a"], out["pair_b"], out["pair_k"] = keys >> 2 * ID_BITS, (keys >> ID_BITS) & mask, keys & mask, counts
         order = np.lexsort((cuts[1], cuts[0]))
         c_doc, c_a, c_b = cuts[0][order], cuts[1][order], cuts[2][order]
         bounds = np.searchsorted(c_doc, np.arange(n + 1))
         for d in range(n):
             if bounds[d + 1] > bounds[d]:
                 texts_out[d] = groups_text(a_ids[d], b_ids[d], c_a[bounds[d] : bounds[d + 1]], c_b[bounds[d] : bounds[d + 1]])
-    out["groups"] = texts_out
-    out["pairs"] = pairs
+    out["groups_sha256"] = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts_out]
+    if keep_groups:
+        out["groups"] = texts_out
+    return out
+
+
+def spans(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Consecutive (start, end) of at most ``BATCH`` texts and about ``BATCH_CHARS`` characters each."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo >= BATCH or size + len(t or "") > BATCH_CHARS):
+            out.append((lo, i))
+            lo, size = i, 0
+        size += len(t or "")
+    if lo < len(texts):
+        out.append((lo, len(texts)))
     return out
 
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_a, n_b, n_groups, n_links, groups, pairs) for every row; ``row`` is unique."""
+def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
+    """(row, id, n_a, n_b, n_groups, n_links, groups_sha256, pairs[, groups]) for every row; ``row`` is unique."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs {PAIR_TYPE}"
-    fields = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int64())])
+    schema = f"row long, id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs {PAIR_TYPE}"
+    names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs"] + (["groups"] if keep_groups else [])
 
     def batches(parts):
         s = sides(a_path, b_path)
         base, seen = TaskContext.get().partitionId() << 36, 0
         for batch in parts:
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), BATCH):
-                got = align_batch(s, texts[lo : lo + BATCH])
-                n = len(got["n_a"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(base + seen, base + seen + n, dtype=np.int64)),
-                        batch.column(0).slice(lo, n),
-                        *(pa.array(got[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
-                        pa.array(got["groups"], pa.string()),
-                        pa.array(got["pairs"], pa.list_(fields)),
-                    ],
-                    names=["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"],
+            for lo, hi in spans(texts):
+                got = align_batch(s, texts[lo:hi], keep_groups)
+                n = hi - lo
+                offsets = np.searchsorted(got["pair_doc"], np.arange(n + 1)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array(got["pair_a"], pa.int32()), pa.array(got["pair_b"], pa.int32()), pa.array(got["pair_k"], pa.int64())], names=["a", "b", "k"]
                 )
+                columns = [
+                    pa.array(np.arange(base + seen, base + seen + n, dtype=np.int64)),
+                    batch.column(0).slice(lo, n),
+                    *(pa.array(got[c], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")),
+                    pa.array(got["groups_sha256"], pa.string()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pairs),
+                ]
+                if keep_groups:
+                    columns.append(pa.array(got["groups"], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 seen += n
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(batches, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(batches, schema + (", groups string" if keep_groups else ""))
 
 
-def report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256 and groups."""
-    rows = stage(aligned(docs, a_path, b_path, id_col, text_col))
+def report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
+    """Per row: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256, and with
+    ``keep_groups`` the groups text itself (as long as the text's ids, so it is left out unless asked for)."""
+    rows = stage(aligned(docs, a_path, b_path, id_col, text_col, keep_groups))
     links = rows.select("row", F.explode("pairs").alias("p")).select("row", (F.col("p.a").cast("long") * (1 << ID_BITS) + F.col("p.b")).alias("pair"), F.col("p.b").alias("b"), F.col("p.k").alias("k"))
     counts = stage(links.groupBy("pair", "b").agg(F.sum("k").alias("count")))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
     table = stage(counts.join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best")))
     met = salted_join(links.select("row", "pair", "k"), table, "pair", spread="row")
     sums = met.groupBy("row").agg(F.sum(F.col("k") * F.col("count")).alias("count_sum"), F.sum(F.col("k") * F.col("best")).alias("n_best"))
-    out = rows.join(sums, "row", "left")
-    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    out = rows.drop("pairs").join(sums, "row", "left")
     return out.select(
         F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links",
         F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
         F.coalesce("count_sum", F.lit(0)).cast("long").alias("count_sum"),
-        digest.alias("groups_sha256"), "groups",
+        "groups_sha256", *(["groups"] if keep_groups else []),
     )

@@ -88,7 +88,7 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the byte-level BPE and the sentencepiece tokens of every document, with corpus counts."""
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-    return alignment.report(table(spark, sf_dir, "documents"), a, b).drop("groups")
+    return alignment.report(table(spark, sf_dir, "documents"), a, b)
 
 
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

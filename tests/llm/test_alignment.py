@@ -98,3 +98,11 @@ def test_empty_table(spark):
 def test_byte_alphabet_is_a_bijection():
     alpha = al.byte_alphabet()
     assert sorted(alpha.values()) == list(range(256)) and alpha["Ġ"] == 32 and alpha["!"] == 33
+
+
+def test_batches_are_cut_by_count_and_characters(monkeypatch):
+    monkeypatch.setattr(al, "BATCH", 3)
+    monkeypatch.setattr(al, "BATCH_CHARS", 10)
+    texts = ["abcd", None, "abcdefghijkl", "a", "b", "c", "d", ""]
+    assert al.spans(texts) == [(0, 2), (2, 3), (3, 6), (6, 8)]
+    assert al.spans([]) == []
