@@ -17,7 +17,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import utf8
+from siftwatch.llm.texts import release_worker, utf8
 
 WINDOW = 10
 #: Item words in one block; its items are the only data broadcast, and the driver holds one block at a time.
@@ -158,6 +158,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: st
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        release_worker()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 b = batch.slice(k, 512)
@@ -223,6 +224,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, l
     parts, at, schema = blocks(benchmark, window), docs.columns.index(text_col), docs.schema
 
     def run(batches):
+        release_worker()
         automata = [p.value.automaton for p in parts]
         for batch in batches:
             for k in range(0, batch.num_rows, 512):

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, lower_words, one_per_worker, utf8
+from siftwatch.llm.texts import by_bytes, fresh, lower_words, one_per_worker, utf8
 from siftwatch.staging import stage
 
 SIZE = 3
@@ -378,9 +378,10 @@ def first_of_each(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, i
     """``docs`` with one document of each group: the one with the smallest id. Rows without an id stay; rows that
     repeat an id and text stay once."""
     groups = stage(grouped(docs, size, per_cent, id_col, text_col))
-    heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
-    kept = docs.join(heads, id_col, "left").where(F.col("_rows").isNotNull() | F.col(id_col).isNull())
-    if heads.where("_rows > 1").isEmpty():
+    rows = fresh(docs.columns, "_rows")
+    heads = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias(rows))
+    kept = docs.join(heads, id_col, "left").where(F.col(rows).isNotNull() | F.col(id_col).isNull())
+    if heads.where(F.col(rows) > 1).isEmpty():
         return kept.select(*docs.columns)
-    once = F.coalesce(F.col("_rows"), F.lit(1)) == 1
+    once = F.coalesce(F.col(rows), F.lit(1)) == 1
     return kept.where(once).unionByName(kept.where(~once).dropDuplicates([id_col, text_col])).select(*docs.columns)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, utf8
+from siftwatch.llm.texts import by_bytes, release_worker, utf8
 from siftwatch.staging import stage
 
 TREES, TREE_ROWS, SEED = 128, 256, 1
@@ -89,6 +89,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, t) for c, t in kinds.items())])
 
     def run(batches):
+        release_worker()
         for batch in batches:
             for b in by_bytes(batch, 1):
                 counts = counted(utf8(b.column(1)))
@@ -169,6 +170,7 @@ def score(stats: DataFrame, forest: Forest) -> DataFrame:
     sent = stats.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches):
+        release_worker()
         for b in batches:
             rows = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FEATURES], axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.scores(rows))], names=schema.names)
@@ -213,6 +215,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Data
     n_words, n_repeated = COUNTS.index("n_words"), COUNTS.index("n_repeat_words")
 
     def run(batches):
+        release_worker()
         for batch in batches:
             for b in by_bytes(batch, at):
                 counts = counted(utf8(b.column(at)))

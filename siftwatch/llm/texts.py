@@ -22,14 +22,41 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.translate(LOWER_AZ).split()
 
 
+def fresh(columns: list[str], base: str) -> str:
+    """A column name like ``base`` that none of ``columns`` has (case-insensitively, as Spark compares them)."""
+    taken, name = {c.lower() for c in columns}, base
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 _held: dict = {}
 
 
+def release_worker() -> None:
+    """Let go of what an earlier operator kept in this worker, and give the freed memory back to the system (Arrow's
+    pool and the C heap), so that the next stage's tasks start from a small worker."""
+    if not _held:
+        return
+    _held.clear()
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: the memory is reused by this process instead
+        pass
+
+
 def one_per_worker(key: tuple, build):
     """What ``build`` gives, kept for the worker's later tasks. A worker keeps one such thing: tasks of another
-    operator let it go first, so that a worker that serves several of them does not add up their memories."""
+    operator let it go first (``release_worker``), so that a worker that serves several of them does not add up their
+    memories. Operators that keep nothing call ``release_worker`` at the start of their tasks."""
     if key not in _held:
-        _held.clear()
+        release_worker()
         _held[key] = build()
     return _held[key]
 

@@ -289,3 +289,16 @@ def test_pipeline_handles_odd_tables(spark, sf):
         for name, step in corpus_pipeline.STAGES:
             docs_out = step(spark, docs, sf)
             assert docs_out.count() <= docs.count(), name
+
+
+def test_pipeline_stages_keep_clashing_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = docs.withColumn("_limit", F.lit(-1.0)).withColumn("_of", F.lit("x")).withColumn("_rows", F.lit(7)).withColumn("component_id", F.lit(-3))
+    plain, odd = docs, extra
+    for name, step in corpus_pipeline.STAGES[:4]:
+        plain, odd = stage(step(spark, plain, sf)), stage(step(spark, odd, sf))
+        assert odd.columns == extra.columns, name
+        want = sorted((r.doc_id, r.text) for r in plain.collect())
+        got = odd.collect()
+        assert sorted((r.doc_id, r.text) for r in got) == want, name
+        assert {(r._limit, r._of, r._rows, r.component_id) for r in got} <= {(-1.0, "x", 7, -3)}, name
