@@ -18,6 +18,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import regex
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -35,7 +36,9 @@ MEMO_WORDS = 500_000
 #: Different words a task counts before it hands their counts on.
 HELD_WORDS = 200_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word starts with a letter (Unicode category L) and runs on over letters and combining marks; number signs such as
+#: "½" or "²" are no letters.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"
 
 

@@ -47,9 +47,9 @@ def test_language_accuracy_and_edges(spark, tables):
     assert len(rows) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     assert sum(r.lang == r.lang_pred for r in held) >= 0.98 * len(held) and all(0 <= r.score <= 1 for r in rows)
     languages, table = lid.learn(docs.select("text", "lang").limit(200), PIECES)
-    odd = docs_of(spark, [None, "", "123 !!", "the " * 20000, "x" * 5000, "日本語", "the", "the"], None)
+    odd = docs_of(spark, [None, "", "123 !!", "the " * 20000, "x" * 5000, "日本語", "the", "the", "½ ² 12", "Ⅻ ① ⁵ ٣"], None)
     got = {r.doc_id: r for r in lid.predict(odd, PIECES, languages, table, [F.col("doc_id")]).collect()}
-    assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and got[0].score == 0
+    assert [got[i].lang_pred for i in (0, 1, 2, 8, 9)] == ["und"] * 5 and got[0].score == 0
     assert got[3].lang_pred == "en" and got[6][1:] == got[7][1:] and math.isfinite(got[4].score)
     nothing = lid.held_out_predictions(odd.where("doc_id < 0"), PIECES)
     assert nothing.count() == 0
