@@ -101,16 +101,20 @@ def write_monolithic(originals: DataFrame, folder: str) -> DataFrame:
 
 
 def inflated(read):
-    """Blocks of what a gzip file holds, be it one member or many."""
-    unpack, data = zlib.decompressobj(GZIP), b""
+    """Blocks of what a gzip file holds, be it one member or many. A stream that ends inside a member (cut between two
+    records at a flush point, or without its trailer) raises ``ValueError``: records are never lost silently."""
+    unpack, data, started = zlib.decompressobj(GZIP), b"", False
     while data or (data := read(CHUNK)):
+        started = True
         yield unpack.decompress(data, CHUNK)
         data = unpack.unconsumed_tail
         if unpack.eof:
             data = unpack.unused_data
-            unpack = zlib.decompressobj(GZIP)
+            unpack, started = zlib.decompressobj(GZIP), False
     if rest := unpack.flush():
         yield rest
+    if started and not unpack.eof:
+        raise ValueError("the gzip stream ends inside a member: the file was cut")
 
 
 class Inflated:

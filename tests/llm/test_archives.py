@@ -123,3 +123,27 @@ def test_more_shards_move_few_rows(spark):
     moved = sum(a[i] != b[i] for i in a)
     assert moved < 4000 * 0.12
     assert max(Counter(a.values()).values()) <= 300 and len(a) == 4000
+
+
+def test_cut_streams_raise():
+    import io
+    import zlib
+
+    import pytest
+
+    from siftwatch.llm.warc import inflated
+
+    def gz(parts, finish=True):
+        pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+        out = b"".join(pack.compress(p) + pack.flush(zlib.Z_FULL_FLUSH) for p in parts)
+        return out + (pack.flush() if finish else b"")
+
+    whole = gz([b"record one\r\n\r\n", b"record two\r\n\r\n"])
+    two_members = whole + gz([b"third\r\n"])
+    assert b"".join(inflated(io.BytesIO(two_members).read)) == b"record one\r\n\r\nrecord two\r\n\r\nthird\r\n"
+    assert b"".join(inflated(io.BytesIO(b"").read)) == b""
+    no_trailer = gz([b"record one\r\n\r\n", b"record two\r\n\r\n"], finish=False)
+    cut = gz([b"record one\r\n\r\n"], finish=False)  # ends at a flush point after the first record
+    for broken in (no_trailer, cut, whole[:-4]):
+        with pytest.raises(ValueError):
+            b"".join(inflated(io.BytesIO(broken).read))
