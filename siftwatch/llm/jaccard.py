@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, fresh, lower_words, one_per_worker, utf8
+from siftwatch.llm.texts import by_bytes, fresh, lower_words, one_per_worker, release_worker, utf8
 from siftwatch.staging import stage
 
 SIZE = 3
@@ -43,7 +43,7 @@ SLICE = 500_000
 #: Size of the filter that holds back texts of no candidate class; eight megabytes.
 BLOOM_BITS = 1 << 26
 #: Meetings a task holds to aggregate.
-HELD = 1_000_000
+HELD = 250_000
 MEMO_WORDS = 300_000
 #: Weight of a probe against a step of the merge, in choosing how many lists count as long.
 MU = 0.0085
@@ -194,6 +194,7 @@ def candidate_edges(docs: DataFrame, size: int, per_cent: int, id_col: str, text
             yield rows(keys, classes)
 
     def met(batches):
+        release_worker()
         last_key, last_first = None, None
         for b in batches:
             if not b.num_rows:
@@ -305,6 +306,7 @@ def sifted(texts: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     filled = texts.sparkSession.sparkContext.broadcast(may_hold(ids, column))
 
     def run(batches):
+        release_worker()
         for b in batches:
             bit = b.column(b.num_columns - 1).to_numpy()
             hit = filled.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1
@@ -326,6 +328,7 @@ def block_links(members: DataFrame, per_cent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[group])], names=["class", "root"])
 
     def run(batches):
+        release_worker()
         held, last = [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
