@@ -176,3 +176,22 @@ def test_nearest_reference_first_index_wins_and_both_ways_agree(spark):
         assert got[2][0] == 0
     with pytest.raises(ValueError):
         simjoin.nearest_reference(rows, refs.where("idx > 9"))
+
+
+@pytest.mark.parametrize("rows,roles", [(4096, False), (9, False), (9, True)])
+def test_tiles_of_written_blocks_lose_no_pair_and_move_no_meeting(spark, rows, roles):
+    from siftwatch.operators import sparsetiles
+
+    texts = near_copies(n=70, seed=9)
+    sims = cosines(tfidf(texts, None)[0])
+    units = textjoin.units_of(table(spark, texts), "description", 0.5)
+    blocks = sparsetiles.write(units, block_rows=rows)
+    marks = units.select("row_id", (F.col("row_id") % 3 == 0).alias("first"), (F.col("row_id") % 2 == 0).alias("later")) if roles else None
+    found = sparsetiles.pairs(blocks, 0.5, marks)
+    got = {(r.i, r.j): r.sim for r in found.collect()}
+    wanted = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sims[i, j] >= 0.5}
+    assert set(got) == ({(i, j) for i, j in wanted if i % 3 == 0 and j % 2 == 0} if roles else wanted) and got
+    assert all(abs(s - sims[p]) < 1e-9 for p, s in got.items())
+    # the only shuffle deals out the tiles: no vector and no meeting is in it
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
