@@ -135,3 +135,15 @@ def test_regions_stay_bounded_at_any_threshold(spark):
         regions = simjoin._regions(units, threshold, 4, 512)
         n = regions.rows.select("region").distinct().count()
         assert n <= 4 * (simjoin.MAX_RINGS + 2) and len(regions.links) <= n * (n + 1) / 2
+
+
+@pytest.mark.parametrize("part_rows", [20, 60])
+def test_parts_decided_one_after_the_other_match_brute_force(spark, monkeypatch, part_rows):
+    m = noisy_groups(seed=21, n=130)
+    formed = []
+    whole = simjoin.first_neighbours
+    monkeypatch.setattr(simjoin, "first_neighbours", lambda live, *a: formed.append(live.count()) or whole(live, *a))
+    found = dedup.find_duplicates(vector_table(spark, m), part_rows=part_rows, block_rows=40)
+    assert result(found) == greedy(cosines(m), 0.85)
+    # rows that an earlier part's survivors removed never meet each other
+    assert len(formed) > 1 and sum(formed) < len(m)
