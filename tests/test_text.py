@@ -195,3 +195,20 @@ def test_tiles_of_written_blocks_lose_no_pair_and_move_no_meeting(spark, rows, r
     # the only shuffle deals out the tiles: no vector and no meeting is in it
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_terms_meet_their_frequencies_without_a_shuffle(spark):
+    terms = stage(vectorize.keyed_terms(table(spark, ["a b b", "a c", ""])))
+    found = textjoin.with_frequencies(terms, stage(textjoin.frequencies(terms)))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    rows = {r.row_id: sorted(zip(r.tf, r.df)) for r in found.collect()}
+    assert rows == {0: [(1, 2), (2, 1)], 1: [(1, 1), (1, 2)]}
+
+
+def test_rows_of_one_id_are_one_row_with_their_frequencies(spark):
+    texts = spark.createDataFrame([(0, "a b"), (0, "a"), (None, "a"), (None, "c"), (1, "b")], "row_id bigint, description string")
+    terms = stage(vectorize.keyed_terms(texts))
+    found = textjoin.with_frequencies(terms, stage(textjoin.frequencies(terms))).collect()
+    assert {r.row_id: sorted(r.df) for r in found} == {0: [2, 3, 3], None: [1, 3], 1: [2]}
+    assert len(found) == 3
