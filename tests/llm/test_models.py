@@ -189,3 +189,13 @@ def test_rare_languages_are_not_judged_by_others(spark, tables):
     assert {r.doc_id for r in kn.accepted(docs, rare).collect()} == {d for d, r in got.items() if r.kept}
     none = kn.judged(docs.withColumn("lang", F.when(F.col("lang") != "es", F.col("lang"))), rare)
     assert {r.threshold for r in none.where("lang IS NULL").collect()} == {kn.MARGIN * max(held)}
+
+
+def test_all_trusted_rows_of_the_half_are_learned(spark):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 2 == 0]
+    docs = spark.createDataFrame([(i, f"w{i}", "en") for i in ids], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    assert len(ids) > 1500
+    fitted, scored = kn.fit(docs, labels)
+    # every text was learned, so all words are known and equally probable
+    assert len({round(r.perplexity, 6) for r in scored.collect()}) == 1
