@@ -15,8 +15,8 @@ out of the vectors.
 Per document: n_a, n_b, n_groups, n_links and ``groups`` (``a1,a2|b1;a3|b2,b3``: decimal ids of each group, A then B,
 groups in order; '' without tokens). Corpus-wide, an (A id, B id) pair's count is the number of links that hold it;
 ``count_sum`` sums the counts of a document's links and ``n_best`` counts its links whose count is the highest of their
-B id (ties included). Pairs are pre-aggregated in each document before they are shuffled, and a pair that a third of
-all links hold is salted across tasks when the counts meet the documents again.
+B id (ties included). Pairs are pre-aggregated in each document and task before they are shuffled. Their counts are written in shards,
+where tasks look up the pairs of their documents: links are not moved again.
 
 Defined cases: a null id is a document like any other and keeps its row; rows with equal ids keep a row each; very
 long texts are walked whole (the step count is the longer side's token count); other columns of the input are dropped
@@ -27,16 +27,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from siftwatch.functions import arrays
 from siftwatch.llm.texts import one_per_worker
 from siftwatch.llm.token_records import Encoder
-from siftwatch.operators.skew import salted_join
-from siftwatch.staging import stage
+from siftwatch.operators.sparsetiles import part
+from siftwatch.staging import stage, stage_path
 
 #: Documents walked in lockstep at a time, and at most this many characters of text among them (a step's arrays and
 #: the links of a batch grow with its tokens, so long texts go in smaller batches; one text is never cut).
@@ -45,6 +47,9 @@ BATCH_CHARS = 1 << 21
 PAIR_TYPE = "array<struct<a:int,b:int,k:long>>"
 #: Bits of an id in a pair's key: vocabularies up to a million ids.
 ID_BITS = 20
+#: Different pairs in a shard of their counts, and links worked on at once.
+SHARD_PAIRS = 1_000_000
+LINKS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -236,20 +241,52 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(batches, schema + (", groups string" if keep_groups else ""))
 
 
+@lru_cache(8)
+def _shard(folder: str, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table = part(folder, "shard", number).sort_by("pair")
+    return tuple(table.column(c).to_numpy() for c in ("pair", "count", "best"))
+
+
+def link_sums(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with n_best and count_sum in place of ``pairs``; ``table (pair, count, best)`` has every pair. A task
+    looks up the different pairs of some documents in one shard after the other."""
+    folder, shards = stage_path(rows.sparkSession), 1 + table.count() // SHARD_PAIRS
+    dealt = table.withColumn("shard", (F.col("pair") % shards).cast("int"))
+    dealt.repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
+    keep = [c for c in rows.columns if c != "pairs"]
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
+
+    def look_up(batches):
+        for batch in arrays.bounded(batches, len(keep), most=LINKS):
+            lists = batch.column(len(keep))
+            lengths = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            a, b, k = (flat.field(c).to_numpy().astype(np.int64) for c in range(3))
+            pair, code = np.unique((a << ID_BITS) + b, return_inverse=True)
+            count, best = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
+            for number in np.unique(pair % shards).tolist():
+                at = np.flatnonzero(pair % shards == number)
+                have, counts, bests = _shard(folder, number)
+                place = np.searchsorted(have, pair[at])
+                count[at], best[at] = counts[place], bests[place]
+            ends = np.cumsum(lengths)
+            sums = []
+            for x in (best, count):
+                total = np.r_[0, np.cumsum(k * x[code])]
+                sums.append(pa.array(total[ends] - total[ends - lengths], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *sums], names=schema.names)
+
+    return rows.select(*keep, "pairs").mapInArrow(look_up, schema)
+
+
 def report(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = False) -> DataFrame:
     """Per row: id_col, n_a, n_b, n_groups, n_links, n_best, count_sum (long), groups_sha256, and with
     ``keep_groups`` the groups text itself (as long as the text's ids, so it is left out unless asked for)."""
     rows = stage(aligned(docs, a_path, b_path, id_col, text_col, keep_groups))
-    links = rows.select("row", F.explode("pairs").alias("p")).select("row", (F.col("p.a").cast("long") * (1 << ID_BITS) + F.col("p.b")).alias("pair"), F.col("p.b").alias("b"), F.col("p.k").alias("k"))
+    links = rows.select(F.explode("pairs").alias("p")).select((F.col("p.a").cast("long") * (1 << ID_BITS) + F.col("p.b")).alias("pair"), F.col("p.b").alias("b"), F.col("p.k").alias("k"))
     counts = stage(links.groupBy("pair", "b").agg(F.sum("k").alias("count")))
     top = counts.groupBy("b").agg(F.max("count").alias("top"))
     table = stage(counts.join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best")))
-    met = salted_join(links.select("row", "pair", "k"), table, "pair", spread="row")
-    sums = met.groupBy("row").agg(F.sum(F.col("k") * F.col("count")).alias("count_sum"), F.sum(F.col("k") * F.col("best")).alias("n_best"))
-    out = rows.drop("pairs").join(sums, "row", "left")
-    return out.select(
-        F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links",
-        F.coalesce("n_best", F.lit(0)).cast("long").alias("n_best"),
-        F.coalesce("count_sum", F.lit(0)).cast("long").alias("count_sum"),
-        "groups_sha256", *(["groups"] if keep_groups else []),
+    return link_sums(rows, table).select(
+        F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if keep_groups else [])
     )

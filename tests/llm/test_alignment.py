@@ -106,3 +106,16 @@ def test_batches_are_cut_by_count_and_characters(monkeypatch):
     texts = ["abcd", None, "abcdefghijkl", "a", "b", "c", "d", ""]
     assert al.spans(texts) == [(0, 2), (2, 3), (3, 6), (6, 8)]
     assert al.spans([]) == []
+
+
+def test_pairs_meet_their_counts_in_shards_without_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame(
+        [(0, [(1, 2, 3), (5, 2, 1)]), (1, []), (2, [(5, 2, 2)])], "row long, pairs array<struct<a:int,b:int,k:long>>"
+    )
+    pair = [(1 << al.ID_BITS) + 2, (5 << al.ID_BITS) + 2]
+    table = spark.createDataFrame([(pair[0], 3, 1), (pair[1], 3, 1), (7, 9, 0)], "pair long, count long, best long")
+    monkeypatch.setattr(al, "SHARD_PAIRS", 1)
+    found = al.link_sums(rows, table)
+    assert sorted(map(tuple, found.collect())) == [(0, 4, 12), (1, 0, 0), (2, 2, 6)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
