@@ -2,8 +2,9 @@
 
 1. Every text becomes a set of hashed shingles. Texts with equal sets are one *class* from here on.
 2. Candidates. Sets at or above the threshold differ in at most d shingles, d known from their size. Shingles are dealt
-   by hash into more than d segments, so two such sets agree in some whole segment. A class is listed under each of its
-   segments' hashes; classes that meet under one form a *block*, a superset of what can link. A shared passage does not
+   by hash into more than d segments, so two such sets agree in some whole segment. A class is listed under the hashes of
+   its segments, the d + 1 of most shingles, since two sets in which at most d segments differ agree in one that is among
+   these in both; classes that meet under one form a *block*, a superset of what can link. A shared passage does not
    make a meeting: a whole segment must agree.
 3. Search. A block's sets go to one task, or as slices to a grid of tasks if they are many. There, each set looks for
    others that share at least T shingles (DivideSkip): its longest inverted lists are put aside, the short ones are
@@ -40,6 +41,9 @@ PER_CENT = 90
 SPARE, SPARE_PER_EMPTY = 2, 4
 #: Shingles in one slice of a block.
 SLICE = 500_000
+#: Times that sets may be as large as the smallest of their band, as a power of the largest ratio of two that link. In
+#: wide bands few sets have partners in the next one, where they are listed as well.
+BAND_POWER = 3
 #: Size of the filter that holds back texts of no candidate class; eight megabytes.
 BLOOM_BITS = 1 << 26
 #: Meetings a task holds to aggregate.
@@ -116,7 +120,10 @@ def bands(per_cent: int, most: int = 1 << 40) -> np.ndarray:
     """First sizes of bands such that sets that link lie in one band or in two next to each other."""
     starts = [1]
     while starts[-1] < most:
-        starts.append(starts[-1] * 100 // per_cent + 1)
+        start = starts[-1]
+        for _ in range(BAND_POWER):
+            start = start * 100 // per_cent + 1
+        starts.append(start)
     return np.array(starts)
 
 
@@ -131,48 +138,50 @@ def spare(size: int, d: int) -> int:
 
 
 def meetings(shingles: np.ndarray, per_cent: int) -> np.ndarray:
-    """Hashes under which a set is listed: its segments, in its own band and the next one."""
+    """Hashes under which a set is listed: the largest of its segments in its own band, and in the next one if it has
+    partners there. All sets order segments alike (by size, then by hash), so that two sets that agree in all but d
+    segments agree in one of the first d + 1 of both."""
     starts = bands(per_cent)
     n = len(shingles)
     own = int(np.searchsorted(starts, n, "right")) - 1
+    largest = n * 100 // per_cent  # of its partners
     out = []
     for band in (own, own + 1):
         most = int(starts[band + 1]) - 1
-        d = differing(most, per_cent)
-        if not d:
-            continue  # only equal sets link
-        k = d + 1 + spare(most, d)
-        # A set smaller than its band's largest has smaller partners, and differs from them in less than d.
-        d = (n + min(most, n * 100 // per_cent)) * (100 - per_cent) // (100 + per_cent)
+        differ = differing(most, per_cent)
+        d = (n + min(most, largest)) * (100 - per_cent) // (100 + per_cent)
+        if not d or largest < starts[band]:
+            continue  # only equal sets link, or none
+        k = differ + 1 + spare(most, differ)
         place = mixed(shingles + step(band))
-        segment = (place >> np.uint64(33)) % np.uint64(k)
+        segment = ((place >> np.uint64(33)) % np.uint64(k)).astype(np.intp)
         sums = np.zeros(k, np.uint64)
-        np.add.at(sums, segment.astype(np.intp), mixed(place + ODD))
-        empty = np.bincount(segment.astype(np.intp), minlength=k) == 0
+        np.add.at(sums, segment, mixed(place + ODD))
         names = mixed(sums + mixed(np.arange(k, dtype=np.uint64) + step(band)))
-        # k - d segments agree at least; if so many are empty, agreement may lie in those alone.
-        out.append(names if empty.sum() >= k - d else names[~empty])
+        size = np.minimum(np.bincount(segment, minlength=k), 255)
+        ranked = (255 - size).astype(np.uint64) << np.uint64(56) | names >> np.uint64(8)
+        out.append(np.partition(ranked, d)[: d + 1])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Meetings summed up: per key one row (key, first, first), and per further class an edge (some key, class, first)."""
+def combined(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Meetings summed up, by class: (key, first) per key, and for each further class two rows of one more key, which
+    it shares with the first. A class's rows follow each other, so that they compress."""
     order = np.lexsort((classes, keys))
     keys, classes = keys[order], classes[order]
     new = np.append(True, keys[1:] != keys[:-1])
     first = classes[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
     further = ~new & (classes != first)
     edges = np.unique(np.stack([classes[further], first[further]]), axis=1)
-    return (
-        np.concatenate([keys[new], mixed(edges[0].view(np.uint64) * ODD + edges[1].view(np.uint64)).view(np.int64)]),
-        np.concatenate([classes[new], edges[0]]),
-        np.concatenate([classes[new], edges[1]]),
-    )
+    shared = mixed(edges[0].view(np.uint64) * ODD + edges[1].view(np.uint64)).view(np.int64)
+    keys, classes = np.concatenate([keys[new], shared, shared]), np.concatenate([classes[new], edges[0], edges[1]])
+    order = np.argsort(classes, kind="stable")
+    return keys[order], classes[order]
 
 
 def candidate_edges(docs: DataFrame, size: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     """Edges (a, b) between classes that agree in a segment, enough to connect all that do."""
-    names = ["key", "a", "b"]
+    names = ["key", "class"]
 
     def rows(keys, classes):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in combined(np.concatenate(keys).view(np.int64), np.concatenate(classes))], names=names)
@@ -199,23 +208,17 @@ def candidate_edges(docs: DataFrame, size: int, per_cent: int, id_col: str, text
         for b in batches:
             if not b.num_rows:
                 continue
-            key, a, first = (b.column(c).to_numpy() for c in names)
-            meets = a == first
-            edge = ~meets
-            k, v = key[meets], a[meets]
-            pairs = [np.stack([a[edge], first[edge]])]
-            if len(k):
-                new = np.append(k[0] != last_key, k[1:] != k[:-1])
-                at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
-                starts = np.where(at >= 0, v[np.maximum(at, 0)], last_first if last_first is not None else 0)
-                pairs.append(np.stack([v[v != starts], starts[v != starts]]))
-                last_key, last_first = k[-1], starts[-1]
-            out = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            k, v = (b.column(c).to_numpy() for c in names)
+            new = np.append(k[0] != last_key, k[1:] != k[:-1])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+            starts = np.where(at >= 0, v[np.maximum(at, 0)], last_first if last_first is not None else 0)
+            last_key, last_first = k[-1], starts[-1]
+            out = np.unique(np.stack([v[v != starts], starts[v != starts]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1])], names=["a", "b"])
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("t"))
-    lists = texts.mapInArrow(listed, "key long, a long, b long")
-    return lists.repartition("key").sortWithinPartitions("key", "a").mapInArrow(met, "a long, b long").distinct()
+    lists = texts.mapInArrow(listed, "key long, class long")
+    return lists.repartition("key").sortWithinPartitions("key", "class").mapInArrow(met, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

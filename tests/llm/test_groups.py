@@ -123,6 +123,18 @@ def test_sets_that_share_nothing_seldom_meet_at_four_fifths():
         assert max(keys.values()) <= 2, n
 
 
+def test_sets_are_listed_under_few_large_segments():
+    rng = np.random.default_rng(7)
+    listed = size = met = 0
+    for n in range(300, 1500, 10):
+        common = rng.integers(0, 1 << 60, n)
+        a, b = (np.unique(np.concatenate([common[: n // 6], rng.integers(0, 1 << 60, n - n // 6)]).astype(np.uint64)) for _ in range(2))
+        listed, size = listed + len(jc.meetings(a, 80)), size + n
+        met += bool(np.intersect1d(jc.meetings(a, 80), jc.meetings(b, 80)).size)
+    assert listed < 0.4 * size  # 0.25 of the shingles may differ
+    assert met < 50  # a shared sixth: by small segments 75 of 120 met
+
+
 def test_near_duplicate_stage_takes_five_words_at_four_fifths(spark):
     rng = random.Random(6)
     rows = []
