@@ -81,16 +81,46 @@ def summed(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(n, starts) if len(starts) else np.zeros(0, np.int64)
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """Trigrams (a, b, c) of all texts (column 0) as word keys, and their counts ``n``; summed within tasks."""
+#: Trigrams of a shard in a row, sorted: the middle words ``b``, of each how many first words follow in ``a``, of each of
+#: these how many last words follow in ``c``, and the trigrams' counts ``n``. A word is written once for all it stands in.
+PACKED = "shard int, b array<long>, firsts array<int>, a array<long>, lasts array<int>, c array<long>, n array<int>"
+PACKED_NAMES = ["shard", "b", "firsts", "a", "lasts", "c", "n"]
+
+
+def packed(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, shards: int) -> pa.RecordBatch:
+    """A row per shard of different trigrams, sorted by (shard, b, a, c)."""
+    shard = (b >> np.uint64(32)) % np.uint64(shards)
+    pairs = runs(a, b)
+    words = pairs[runs(b[pairs])]
+    numbers = shard[runs(shard)]
+    firsts = np.diff(np.r_[np.searchsorted(pairs, words), len(pairs)])
+    lasts = np.diff(np.r_[pairs, len(a)])
+    every = np.arange(len(a))
+    lists = []
+    for values, places in ((b[words], words), (firsts, words), (a[pairs], pairs), (lasts, pairs), (c, every), (n, every)):
+        of = shard[places]
+        offsets = np.r_[np.searchsorted(of, numbers), len(of)].astype(np.int32)
+        values = values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+    return pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), *lists], names=PACKED_NAMES)
+
+
+def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trigrams (a, b, c) and counts of ``packed`` rows."""
+    b, firsts, a, lasts, c, n = (table.column(x).combine_chunks().flatten().to_numpy(zero_copy_only=False) for x in PACKED_NAMES[1:])
+    a, b = np.repeat(a, lasts), np.repeat(np.repeat(b, firsts), lasts)
+    return a.view(np.uint64), b.view(np.uint64), c.view(np.uint64), n.astype(np.int64)
+
+
+def counted(texts: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Trigrams of all texts (column 0) as word keys, and their counts, ``packed`` by shard; summed within tasks."""
 
     def flush(held):
         a, b, c = np.concatenate(held).T
-        order = np.lexsort((c, a, b))
+        order = np.lexsort((c, a, b, (b >> np.uint64(32)) % np.uint64(shards)))
         a, b, c = a[order], b[order], c[order]
         at = runs(a, b, c)
-        n = np.diff(np.r_[at, len(a)])
-        return pa.RecordBatch.from_arrays([*(pa.array(x[at].view(np.int64)) for x in (a, b, c)), pa.array(n)], names=["a", "b", "c", "n"])
+        return packed(a[at], b[at], c[at], np.diff(np.r_[at, len(a)]), shards)
 
     def run(batches):
         release_worker()
@@ -107,12 +137,12 @@ def counted(texts: DataFrame) -> DataFrame:
         if held:
             yield flush(held)
 
-    return texts.mapInArrow(run, "a long, b long, c long, n long")
+    return texts.mapInArrow(run, PACKED)
 
 
 def train(texts: DataFrame) -> DataFrame:
-    """What a model is written from: the trigrams of all texts."""
-    return counted(texts.select("text"))
+    """What a model is written from."""
+    return texts.select("text")
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -156,15 +186,15 @@ def _context(n: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [summed(x, starts) for x in (n, *((n == k).astype(np.int64) for k in (1, 2)), (n > 2).astype(np.int64))]
 
 
-def write_shards(grams: DataFrame, folder: str, shards: int = SHARDS) -> None:
-    """The model of ``counted`` trigrams: sorted shards by middle word, then by word, and the discounts."""
+def write_shards(texts: DataFrame, folder: str, shards: int = SHARDS) -> None:
+    """The model of all ``texts``: their trigrams in sorted shards by middle word, then words, and the discounts."""
 
     def write(key, table):
         release_worker()
         name = f"{folder}/{key[0].as_py():04d}"
-        a, b, c = (table.column(x).to_numpy().view(np.uint64) for x in "abc")
+        a, b, c, n = unpacked(table)
         order = np.lexsort((c, a, b))
-        a, b, c, n = a[order], b[order], c[order], table.column("n").to_numpy()[order]
+        a, b, c, n = a[order], b[order], c[order], n[order]
         at = runs(a, b, c)
         a, b, c, n = a[at], b[at], c[at], summed(n, at)
         _write_kind(name, "tri", joined(joined(a, b), c), n)
@@ -194,7 +224,7 @@ def write_shards(grams: DataFrame, folder: str, shards: int = SHARDS) -> None:
     def shard(of):
         return (F.shiftrightunsigned(of, 32) % shards).cast("int").alias("shard")
 
-    dealt = grams.select("*", shard("b")).groupBy("shard").applyInArrow(write, "kind long, key long, n long")
+    dealt = counted(texts, shards).groupBy("shard").applyInArrow(write, "kind long, key long, n long")
     totals = stage(dealt.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     few = {(r.kind, r.key): r.n for r in totals.where("kind > 1").collect()}
     d3, d2 = (discounts({k: few.get((order, k), 0) for k in range(1, 5)}) for order in (3, 2))

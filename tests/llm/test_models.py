@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,16 @@ def test_all_trusted_rows_of_the_half_are_learned(spark):
     fitted, scored = kn.fit(docs, labels)
     # every text was learned, so all words are known and equally probable
     assert len({round(r.perplexity, 6) for r in scored.collect()}) == 1
+
+
+def test_trigrams_are_packed_without_repeating_words():
+    rng = np.random.default_rng(9)
+    b, a, c = (np.sort(rng.integers(0, 1 << 62, k).astype(np.uint64)) for k in (3, 5, 40))
+    grams = {(int(x), int(y), int(z)) for x, y, z in zip(rng.choice(a, 300), rng.choice(b, 300), rng.choice(c, 300))}
+    rows = np.array(sorted(grams, key=lambda g: ((g[1] >> 32) % 4, g[1], g[0], g[2])), np.uint64)
+    n = np.arange(1, len(rows) + 1)
+    out = kn.packed(rows[:, 0], rows[:, 1], rows[:, 2], n, 4)
+    back = kn.unpacked(pa.Table.from_batches([out]))
+    assert all(np.array_equal(x, y) for x, y in zip(back, (*rows.T, n)))
+    assert len(out.column("b").flatten()) == len(b) and len(out.column("a").flatten()) <= len(a) * len(b)
+    assert len(kn.unpacked(pa.Table.from_batches([out.slice(1)]))[0]) == len(out.slice(1).column("c").flatten())
