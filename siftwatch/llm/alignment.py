@@ -8,9 +8,10 @@ text), or the text is null or empty, the document has no tokens and all its figu
 
 Both sides tile the same bytes, so walking them in step visits exactly the pairs of tokens whose byte ranges overlap
 (the *links*): the token that ends first moves on, both move where they end together, and such a common end is a
-*cut* between groups. The walk is done in lockstep for a whole batch: NumPy vectors hold every unfinished document's
-A and B positions, one step advances them all and emits one link per document, and finished documents are compacted
-out of the vectors.
+*cut* between groups. Where a single space stands between two words, tokens of both sides end before it, so texts are
+cut there and their *parts* aligned, each once for all places where a worker meets it. The walk is done in lockstep for
+all new parts of a batch: NumPy vectors hold every unfinished part's A and B positions, one step advances them all and
+emits one link per part, and finished parts are compacted out of the vectors. A document's figures are its parts' sums.
 
 Per document: n_a, n_b, n_groups, n_links and ``groups`` (``a1,a2|b1;a3|b2,b3``: decimal ids of each group, A then B,
 groups in order; '' without tokens). Corpus-wide, an (A id, B id) pair's count is the number of links that hold it;
@@ -20,7 +21,7 @@ where tasks look up the pairs of their documents: links are not moved again.
 
 Defined cases: a null id is a document like any other and keeps its row; rows with equal ids keep a row each; very
 long texts are walked whole (the step count is the longer side's token count); other columns of the input are dropped
-first; an empty table gives an empty result.
+first; an empty table gives an empty result. Where one of the tokenizers does not always cut there, whole texts are parts.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftwatch.functions import arrays
-from siftwatch.llm.texts import one_per_worker
+from siftwatch.llm.texts import one_per_worker, space_parts
 from siftwatch.llm.token_records import Encoder
 from siftwatch.operators.sparsetiles import part
 from siftwatch.staging import stage, stage_path
@@ -44,6 +46,8 @@ from siftwatch.staging import stage, stage_path
 #: the links of a batch grow with its tokens, so long texts go in smaller batches; one text is never cut).
 BATCH = 512
 BATCH_CHARS = 1 << 21
+#: Parts of texts that a worker keeps; about 500 bytes each. When there are more, the half used most stays.
+MEMO_PARTS = 250_000
 PAIR_TYPE = "array<struct<a:int,b:int,k:long>>"
 #: Bits of an id in a pair's key: vocabularies up to a million ids.
 ID_BITS = 20
@@ -79,6 +83,8 @@ class Sides:
             raise ValueError("vocabularies above a million ids don't fit the pair keys")
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.cuts = self.cut_at_spaces()
+        self.parts = Parts(self)
 
     @staticmethod
     def _piece(piece: str) -> bytes:
@@ -86,17 +92,97 @@ class Sides:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """A and B ids of each text; both empty where the text has none or either side's bytes differ."""
-        spaced = [" " + t if t else "" for t in texts]
-        a = [np.frombuffer(x, self.a.dtype).astype(np.int64) for x in self.a.encode(spaced)]
-        b = [np.array(x, np.int64) for x in self.b.encode([t or "" for t in texts], num_threads=1)]
-        none = np.zeros(0, np.int64)
-        for k, text in enumerate(spaced):
-            whole = text.encode()
-            if not text or b"".join(map(self.a_bytes.__getitem__, a[k])) != whole or b"".join(map(self.b_bytes.__getitem__, b[k])) != whole:
-                a[k], b[k] = none, none
-        return a, b
+    def cut_at_spaces(self) -> bool:
+        """Whether both sides always cut before a single space between two words: A's pre-tokenizer, and B as a BPE
+        that leaves texts as they are and has no piece with a space after another character."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False
+        model = sentencepiece_model_pb2.ModelProto.FromString(self.b.serialized_model_proto())
+        n, t = model.normalizer_spec, model.trainer_spec
+        plain = n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not n.precompiled_charsmap
+        pieces = [p.piece for p in model.pieces]
+        own = any(p.type == p.USER_DEFINED for p in model.pieces)
+        return bool(self.a.by_parts and plain and t.model_type == t.BPE and not t.treat_whitespace_as_suffix and not own and not any("▁" in p.lstrip("▁") for p in pieces))
+
+    def tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A and B ids of all parts (each without the space before it) one after the other, and how many of each; none
+        where a part is empty or either side's bytes differ."""
+        spaced = [" " + t if t else "" for t in parts]
+        encoded = self.a.encode_parts(spaced) if self.cuts else self.a.encode(spaced)
+        b = self.b.encode(parts, num_threads=1)
+        n_a = np.array([len(x) for x in encoded], np.int64) // self.a.dtype.itemsize
+        n_b = np.array([len(x) for x in b], np.int64)
+        a = np.frombuffer(b"".join(encoded), self.a.dtype).astype(np.int64)
+        b = np.fromiter(chain.from_iterable(b), np.int64, int(n_b.sum()))
+        whole = [t.encode() for t in spaced]
+        want = np.array([len(t) for t in whole], np.int64)
+        sound = want > 0
+        joined = b"".join(whole)
+        for ids, n, sizes, names in ((a, n_a, self.a_len, self.a_bytes), (b, n_b, self.b_len, self.b_bytes)):
+            ends, last = np.r_[0, np.cumsum(sizes[ids])], np.cumsum(n)
+            sound &= ends[last] - ends[last - n] == want
+            pieces = list(map(names.__getitem__, ids.tolist()))
+            if b"".join(pieces) != joined:  # some differ: each by itself
+                sound &= np.array([b"".join(pieces[e - k : e]) == w for e, k, w in zip(last.tolist(), n.tolist(), whole)], bool)
+        a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
+        return a, b, np.where(sound, n_a, 0), np.where(sound, n_b, 0)
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places ``first`` to ``first + size`` of each row, row by row."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Parts:
+    """Aligned parts of texts, kept for those seen before: figures, the text of their groups, and their links as
+    distinct (A id, B id) keys with how often they occur."""
+
+    def __init__(self, s: Sides):
+        self.s, self.place, self.texts = s, {}, []
+        self.figures = {c: np.zeros(0, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links", "first", "size", "uses", "cut")}
+        self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def places(self, parts: list[str]) -> np.ndarray:
+        new = list(set(parts) - self.place.keys())
+        if self.place and len(self.place) + len(new) > MEMO_PARTS:
+            self._thin()
+            new = list(set(parts) - self.place.keys())
+        if new:
+            self._add(new)
+        out = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        self.figures["uses"] += np.bincount(out, minlength=len(self.place))
+        return out
+
+    def _thin(self) -> None:
+        f, keys = self.figures, list(self.place)
+        keep = np.sort(np.argsort(-f["uses"], kind="stable")[: MEMO_PARTS // 2])
+        self.place = {keys[k]: i for i, k in enumerate(keep.tolist())}
+        self.texts = [self.texts[k] for k in keep.tolist()]
+        f = self.figures = {c: x[keep] for c, x in f.items()}
+        at = ragged(f["first"], f["size"])
+        self.pair, self.times = self.pair[at], self.times[at]
+        f["first"] = np.cumsum(f["size"]) - f["size"]
+        f["uses"] //= 2
+
+    def _add(self, new: list[str]) -> None:
+        n = len(new)
+        a, b, n_a, n_b = self.s.tokens(new)
+        l_part, l_a, l_b, c_part, c_a, c_b = walk_flat(n_a, n_b, np.cumsum(self.s.a_len[a]), np.cumsum(self.s.b_len[b]))
+        keys, times = np.unique(l_part << 2 * ID_BITS | a[l_a] << ID_BITS | b[l_b], return_counts=True)
+        size = np.bincount(keys >> 2 * ID_BITS, minlength=n)
+        order = np.argsort(c_a, kind="stable")
+        c_part, c_a, c_b = c_part[order], c_a[order], c_b[order]
+        texts = iter(groups_texts(a, b, c_a, c_b, np.append(c_part[1:] != c_part[:-1], True)[: len(c_part)]))
+        self.texts += [next(texts) if k else b"" for k in n_a.tolist()]
+        # Cutting a text at every space is right if no white space is beside one.
+        cut = np.array([p != "" and p.strip() == p for p in new], np.int64)
+        more = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(c_part, minlength=n), "n_links": np.bincount(l_part, minlength=n), "first": len(self.pair) + np.cumsum(size) - size, "size": size, "uses": np.zeros(n, np.int64), "cut": cut}
+        self.figures = {c: np.concatenate([x, more[c]]) for c, x in self.figures.items()}
+        self.pair, self.times = np.concatenate([self.pair, keys & (1 << 2 * ID_BITS) - 1]), np.concatenate([self.times, times])
+        self.place.update(zip(new, range(len(self.place), len(self.place) + n)))
 
 
 def sides(a_path: str, b_path: str) -> Sides:
@@ -113,10 +199,17 @@ def walk(a_ends: list[np.ndarray], b_ends: list[np.ndarray]) -> tuple[np.ndarray
     b_first = np.r_[0, np.cumsum(n_b)[:-1]]
     flat_a = np.concatenate([*a_ends, np.zeros(0, np.int64)])
     flat_b = np.concatenate([*b_ends, np.zeros(0, np.int64)])
+    l_doc, l_a, l_b, c_doc, c_a, c_b = walk_flat(n_a, n_b, flat_a, flat_b)
+    return l_doc, l_a - a_first[l_doc], l_b - b_first[l_doc], np.stack([c_doc, c_a - a_first[c_doc], c_b - b_first[c_doc]]), n_a
+
+
+def walk_flat(n_a: np.ndarray, n_b: np.ndarray, flat_a: np.ndarray, flat_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The walk over ends in a row, so many of each document: links and cuts as (document, A place, B place) each."""
     doc = np.flatnonzero(n_a > 0)
-    ia, ib = a_first[doc].copy(), b_first[doc].copy()
-    stop = a_first[doc] + n_a[doc]
-    links, cuts = [], []
+    ia, ib = (np.cumsum(n_a) - n_a)[doc], (np.cumsum(n_b) - n_b)[doc]
+    stop = np.cumsum(n_a)[doc]
+    none = (np.zeros(0, np.int64),) * 3
+    links, cuts = [none], [none]
     while doc.size:
         ea, eb = flat_a[ia], flat_b[ib]
         links.append((doc, ia, ib))
@@ -128,70 +221,81 @@ def walk(a_ends: list[np.ndarray], b_ends: list[np.ndarray]) -> tuple[np.ndarray
         going = ia < stop
         if not going.all():
             doc, ia, ib, stop = doc[going], ia[going], ib[going], stop[going]
-    if not links:
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, empty, empty
-    l_doc, l_a, l_b = (np.concatenate(x) for x in zip(*links))
-    c_doc, c_a, c_b = (np.concatenate(x) for x in zip(*cuts))
-    return l_doc, l_a - a_first[l_doc], l_b - b_first[l_doc], np.stack([c_doc, c_a - a_first[c_doc], c_b - b_first[c_doc]]), n_a
+    return *(np.concatenate(x) for x in zip(*links)), *(np.concatenate(x) for x in zip(*cuts))
 
 
-SEPARATORS = (",", "|", ";", "")
+SEPARATORS = (",", "|", ";", "\n")
 
 
 def groups_text(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3`` of one document from its ids and the positions of the last token of each group.
+    """``a1,a2|b1;a3|b2,b3`` of one document from its ids and the positions of the last token of each group."""
+    return b"".join(groups_texts(a, b, cut_a, cut_b, np.arange(1, len(cut_a) + 1) == len(cut_a))).decode()
+
+
+def groups_texts(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Such texts of several documents or parts in a row; ``last`` marks the last group of each.
 
     Built in one pass over the tokens: the ids of both sides in group order, each followed by its separator (``,``
-    inside a side, ``|`` after a group's last A id, ``;`` after its last B id, nothing at the very end)."""
+    inside a side, ``|`` after a group's last A id, ``;`` after its last B id, a line's end after a text's last)."""
     group_a = np.searchsorted(cut_a, np.arange(len(a)))
     group_b = np.searchsorted(cut_b, np.arange(len(b)))
     ids = np.concatenate([a, b])
-    groups = np.concatenate([group_a, group_b])
-    side = np.r_[np.zeros(len(a), np.int64), np.ones(len(b), np.int64)]
-    order = np.lexsort((np.arange(len(ids)), side, groups))
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
     sep = np.zeros(len(ids), np.int64)
     sep[cut_a] = 1
-    sep[len(a) + cut_b] = 2
-    sep = sep[order]
-    if len(sep):
-        sep[-1] = 3
-    return "".join(map(str.__add__, map(str, ids[order].tolist()), map(SEPARATORS.__getitem__, sep.tolist())))
+    sep[len(a) + cut_b] = np.where(last, 3, 2)
+    joined = "".join(map(str.__add__, map(str, ids[order].tolist()), map(SEPARATORS.__getitem__, sep[order].tolist())))
+    return joined.encode().split(b"\n")[:-1]
+
+
+def cut(text: str) -> list[str]:
+    """The parts of a text, each without the space before it (the first has the one that stands before the text)."""
+    head, *rest = space_parts(text)
+    return [head, *(p[1:] for p in rest)]
 
 
 def align_batch(s: Sides, texts: list[str | None], keep_groups: bool = False) -> dict:
     """Figures of a batch of texts: per text n_a, n_b, n_groups, n_links, groups_sha256 (and groups), and the links
     as distinct (text, A id, B id, occurrences) rows in flat arrays."""
-    a_ids, b_ids = s.tokens(texts)
-    a_ends = [np.cumsum(s.a_len[x]) for x in a_ids]
-    b_ends = [np.cumsum(s.b_len[x]) for x in b_ids]
-    l_doc, l_a, l_b, cuts, _ = walk(a_ends, b_ends)
-    n = len(texts)
-    n_a = np.array([len(x) for x in a_ids], np.int64)
-    n_b = np.array([len(x) for x in b_ids], np.int64)
-    out = {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(cuts[0], minlength=n) if len(l_doc) else np.zeros(n, np.int64)}
-    out["n_links"] = np.bincount(l_doc, minlength=n)
-    empty = np.zeros(0, np.int64)
-    out["pair_doc"], out["pair_a"], out["pair_b"], out["pair_k"] = empty, empty, empty, empty
-    texts_out = [""] * n
-    if len(l_doc):
-        # links of each text as distinct (A id, B id) pairs with how often they occur
-        a_first = np.r_[0, np.cumsum(n_a)[:-1]]
-        b_first = np.r_[0, np.cumsum(n_b)[:-1]]
-        all_a, all_b = np.concatenate(a_ids), np.concatenate(b_ids)
-        key = (l_doc << 2 * ID_BITS) | (all_a[a_first[l_doc] + l_a] << ID_BITS) | all_b[b_first[l_doc] + l_b]
-        keys, counts = np.unique(key, return_counts=True)
-        mask = (1 << ID_BITS) - 1
-        out["pair_doc"], out["pair_a"], out["pair_b"], out["pair_k"] = keys >> 2 * ID_BITS, (keys >> ID_BITS) & mask, keys & mask, counts
-        order = np.lexsort((cuts[1], cuts[0]))
-        c_doc, c_a, c_b = cuts[0][order], cuts[1][order], cuts[2][order]
-        bounds = np.searchsorted(c_doc, np.arange(n + 1))
-        for d in range(n):
-            if bounds[d + 1] > bounds[d]:
-                texts_out[d] = groups_text(a_ids[d], b_ids[d], c_a[bounds[d] : bounds[d + 1]], c_b[bounds[d] : bounds[d + 1]])
-    out["groups_sha256"] = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts_out]
+    n, memo = len(texts), s.parts
+    some = [i for i, t in enumerate(texts) if t]
+    rows = [texts[i].split(" ") if s.cuts else [texts[i]] for i in some]
+    starts = np.cumsum([0, *map(len, rows)])
+    places = memo.places(list(chain.from_iterable(rows)))
+    if s.cuts and len(some):
+        odd = np.flatnonzero(~np.logical_and.reduceat(memo.figures["cut"][places] > 0, starts[:-1])).tolist()
+        if odd:
+            for k in odd:
+                rows[k] = cut(texts[some[k]])
+            starts = np.cumsum([0, *map(len, rows)])
+            places = memo.places(list(chain.from_iterable(rows)))
+    f = memo.figures
+    out = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+    texts_out = [b""] * n
+    doc, lengths = np.array(some, np.int64), np.diff(starts)
+    if some:
+        whole = np.logical_and.reduceat(f["n_a"][places] > 0, starts[:-1])
+        for c, x in out.items():
+            x[doc] = np.where(whole, np.add.reduceat(f[c][places], starts[:-1]), 0)
+        for k in np.flatnonzero(whole).tolist():
+            texts_out[some[k]] = b";".join(map(memo.texts.__getitem__, places[starts[k] : starts[k + 1]].tolist()))
+        inside = np.repeat(whole, lengths)
+        held, times = np.unique((np.repeat(doc, lengths) << 32 | places)[inside], return_counts=True)
+        part = held & (1 << 32) - 1
+        at = ragged(f["first"][part], f["size"][part])
+        key = np.repeat(held >> 32, f["size"][part]) << 2 * ID_BITS | memo.pair[at]
+        counts = np.repeat(times, f["size"][part]) * memo.times[at]
+        order = np.argsort(key, kind="stable")
+        key, counts = key[order], counts[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        key, counts = key[first], np.add.reduceat(counts, first) if len(first) else counts
+    else:
+        key = counts = np.zeros(0, np.int64)
+    mask = (1 << ID_BITS) - 1
+    out["pair_doc"], out["pair_a"], out["pair_b"], out["pair_k"] = key >> 2 * ID_BITS, key >> ID_BITS & mask, key & mask, counts
+    out["groups_sha256"] = [hashlib.sha256(t).hexdigest() if t else "" for t in texts_out]
     if keep_groups:
-        out["groups"] = texts_out
+        out["groups"] = [t.decode() for t in texts_out]
     return out
 
 

@@ -62,12 +62,13 @@ class Encoder:
         return json.loads(self.library.to_str()).get("pre_tokenizer") or {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return by_parts(texts, self.memo, self._parts) if self.by_parts else self._whole(texts)
+        return by_parts(texts, self.memo, self.encode_parts) if self.by_parts else self._whole(texts)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The same for parts of texts, without the memo: many go to the library as one text."""
         out: dict[str, bytes] = {}
         plain = [p for p in parts if p[:1] == " " and p.strip() == p[1:]]
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]

@@ -119,3 +119,21 @@ def test_pairs_meet_their_counts_in_shards_without_a_shuffle(spark, monkeypatch)
     assert sorted(map(tuple, found.collect())) == [(0, 4, 12), (1, 0, 0), (2, 2, 6)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_parts_give_what_whole_texts_give_and_are_aligned_once(monkeypatch):
+    texts = ["the cat sat. The  cat\n sat", "the cat sat", "", None, " the cat", "the cat ", "a▁ b", " x y\t z", "café 日本 the the", "\n", " "] * 3
+    whole, parts = al.Sides(A, B), al.Sides(A, B)
+    assert parts.cuts
+    whole.cuts = False
+    encoded, own = [], parts.tokens
+    monkeypatch.setattr(parts, "tokens", lambda p: encoded.extend(p) or own(p))
+    for most in (250_000, 6):
+        monkeypatch.setattr(al, "MEMO_PARTS", most)
+        for _ in range(3):
+            want, got = al.align_batch(whole, texts, True), al.align_batch(parts, texts, True)
+            assert all(np.array_equal(want[c], got[c]) for c in want)
+        if most > 6:
+            assert len(encoded) == len(set(encoded)) and encoded.count("cat") == 1
+    assert [r[:4] for r in brute(texts)] == list(zip(*(got[c].tolist() for c in ("n_a", "n_b", "n_groups", "n_links"))))
+    assert [r[6] for r in brute(texts)] == got["groups_sha256"]
