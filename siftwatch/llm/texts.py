@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import filterfalse
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -71,18 +74,14 @@ class Memo:
         """The values of all keys of all rows; ``compute(list of unknown keys)`` gives those not known."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        young, get = self.young, self.young.get
-        out = [list(map(get, row)) for row in rows]
-        gaps = [(values, row, [k for k, v in enumerate(values) if v is None]) for values, row in zip(out, rows) if None in values]
-        new = {row[k] for _, row, places in gaps for k in places}
+        young, new = self.young, set()
+        for row in rows:
+            new.update(filterfalse(young.__contains__, row))
         again = new & self.old.keys()
         young.update((key, self.old[key]) for key in again)
         if unknown := list(new - again):
             young.update(zip(unknown, compute(unknown), strict=True))
-        for values, row, places in gaps:
-            for k in places:
-                values[k] = young[row[k]]
-        return out
+        return [list(map(young.__getitem__, row)) for row in rows]
 
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
@@ -93,19 +92,13 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
         yield batch.slice(start, end - start)
 
 
+SPACE_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
 def space_parts(text: str) -> list[str]:
     """The text cut before single spaces between two non-space characters, where a byte-level pre-tokenizer
     (a word takes the one space before it) always cuts. The parts joined are the text."""
-    parts, current = [], None
-    for part in text.split(" "):
-        if current is None:
-            current = part
-        elif current and part and not current[-1].isspace() and not part[0].isspace():
-            parts.append(current)
-            current = " " + part
-        else:
-            current += " " + part
-    return [*parts, current]
+    return SPACE_CUT.split(text)
 
 
 def by_parts(texts: list[str], memo: Memo, encode) -> list[bytes]:
