@@ -82,6 +82,32 @@ def test_token_records(spark):
     assert token_records.round_trip(docs_of(spark, []), BPE).count() == 0
 
 
+def test_different_pieces_go_to_the_model_once():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    library.encode_special_tokens = True
+    own = token_records.Encoder(BPE)
+    met: list[str] = []
+
+    class Model:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            met.extend(p for t in texts for p in t.split("\n"))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own.merges = Model(own.merges)
+    plain = ["a word, word. word: word\n\nword", "the word, and words; Σας, ёж! x½"]
+    texts = [*plain, "x  a  b 日本 c't it's 'll", "½ ² x½ ª aªb ϐ a\x85b \x1c z", "\0 a\0b c", *ODD]
+    for some in (texts, [" ".join(texts)] * 3, plain):
+        met.clear()
+        want = [library.encode(t, add_special_tokens=False).ids for t in some]
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(some)] == want
+    assert "Ġword" in met and len(met) == len(set(met))
+
+
 def test_other_tokenizers_and_ties(spark):
     from tokenizers import Tokenizer
 
