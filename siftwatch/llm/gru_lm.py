@@ -17,22 +17,22 @@ texts all words are unknown and share one class. Repeated ids keep a row each.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from siftwatch.llm.texts import by_bytes, lower_words, one_per_worker, utf8
+from siftwatch.llm.texts import by_bytes, coded_words, one_per_worker
 from siftwatch.staging import stage
 
 FREQUENT, CLASSES = 1024, 32
 KNOWN = 400_000
 HIDDEN, EMBEDDED = 16, 8
 ROUNDS, WINDOW, LANES, RATE = 2, 24, 384, 0.01
-SCORING_LANES, SCORING_BYTES = 1024, 12 << 20
+SCORING_LANES, SCORING_BYTES, COUNTED_BYTES = 1024, 12 << 20, 12 << 20
+TRAINING_BYTES = 8 << 20
 #: In training a lane starts anew after this many words of one text.
 SEGMENT = 2000
 MEMO_WORDS = 300_000
@@ -46,13 +46,20 @@ LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 SHAPES = 2 * (len(LETTERS) + 2) + 1
 
 
-def shape(word: bytes) -> int:
-    core = word.rstrip(b".,;:!?\"')]}|*%$&#-")
-    if not core:
-        return SHAPES - 1
-    at = LETTERS.find(core[-1:])
-    kind = at if at >= 0 else len(LETTERS) + (core[-1:].isdigit())
-    return 2 * kind + (len(core) < len(word))
+#: Of a word's last byte before its marks: its place among the kinds of letters, digits and others.
+KINDS = np.full(256, len(LETTERS))
+KINDS[list(LETTERS)] = range(len(LETTERS))
+KINDS[list(b"0123456789")] = len(LETTERS) + 1
+
+
+def shapes(words: list[bytes]) -> np.ndarray:
+    whole = pa.array(words, pa.large_binary())
+    texts = pa.LargeStringArray.from_buffers(len(whole), *whole.buffers()[1:])
+    core = pc.ascii_rtrim(texts, characters=".,;:!?\"')]}|*%$&#-")
+    sizes = pc.binary_length(core).to_numpy()
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[: len(words)] + sizes - 1
+    last = np.frombuffer(b"".join([*words, b"\0"]), np.uint8)[np.maximum(ends, 0)]
+    return np.where(sizes > 0, 2 * KINDS[last] + (sizes < pc.binary_length(texts).to_numpy()), SHAPES - 1)
 
 
 def key_of(word: bytes) -> int:
@@ -64,29 +71,19 @@ def key_of(word: bytes) -> int:
 
 def counted(texts: DataFrame) -> DataFrame:
     """(key, word, shape, n) of all words of all texts, and of their ends."""
-    names = ["word", "n"]
-
-    def flush(held):
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=names)
-
     def run(batches):
-        held: Counter = Counter()
         for batch in batches:
-            for b in by_bytes(batch, 0):
-                for t in utf8(b.column(0)):
-                    held.update(lower_words(t))
-                held[END] += b.num_rows
-                if len(held) > MEMO_WORDS:
-                    yield flush(held)
-                    held.clear()
-        if held:
-            yield flush(held)
+            for b in by_bytes(batch, 0, COUNTED_BYTES):
+                words, places, _ = coded_words(b.column(0))
+                times = np.append(np.bincount(places, minlength=len(words)), b.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array([*words, END], pa.binary()), pa.array(times, pa.int64())], names=["word", "n"])
 
     def keyed(batches):
         for b in batches:
             words = b.column(0).to_pylist()
-            shapes = [SHAPES if w == END else shape(w) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.int64()), b.column(0), pa.array(shapes, pa.int32()), b.column(1)], names=["key", "word", "shape", "n"])
+            if words:
+                own = np.where([w == END for w in words], SHAPES, shapes(words))
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(key_of, words)), pa.int64()), b.column(0), pa.array(own, pa.int32()), b.column(1)], names=["key", "word", "shape", "n"])
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(keyed, "key long, word binary, shape int, n long")
 
@@ -192,7 +189,7 @@ class Gru:
                 back["wc"] += own.T @ logits
                 back["bc"] += logits.sum(axis=0)
         frequent = np.flatnonzero(codes < self.n)
-        order = frequent[np.argsort(classes[frequent], kind="stable")]
+        order = frequent[np.argsort(classes[frequent].astype(np.uint16), kind="stable")]
         bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             own = order[bounds[c] : bounds[c + 1]]
@@ -250,7 +247,7 @@ class Gru:
         flat = gates.reshape(-1, 3 * HIDDEN)
         back["wx"], back["b"] = embedded.reshape(-1, EMBEDDED).T @ flat, flat.sum(axis=0)
         back["wh"] = before.reshape(-1, HIDDEN).T @ hidden.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(inputs.ravel(), kind="stable")
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")  # short numbers sort faster
         codes = inputs.ravel()[order]
         first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
         back["embed"] = np.zeros_like(self.p["embed"])
@@ -283,27 +280,30 @@ class Coder:
     def _empty(n: int) -> dict[str, np.ndarray]:
         return {"code": np.zeros(n, np.int64), "key": np.zeros(n, np.int64), "n": np.zeros(n, np.int64)}
 
-    def texts(self, rows: list[list[bytes]]) -> list[np.ndarray]:
-        """Places of each text's words in ``rows``."""
-        new = list(set().union(*rows) - self.place.keys())
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``rows`` of all words of the texts, and where each text's begin. Different words are looked up
+        once."""
+        words, places, bounds = coded_words(column)
+        new = [w for w in words if w not in self.place]
         room = len(self.rows["code"])
         if len(new) + len(self.place) > room:
             self.place.clear()
-            new = list(set().union(*rows))
+            new = [w for w in words if w]
             if len(new) > room:
                 self.rows = self._empty(len(new))
         if new:
             at, n = len(self.place), len(self.v.frequent)
             own = {k: x[at : at + len(new)] for k, x in self.rows.items()}
-            own["code"][:] = [self.v.frequent[w] if w in self.v.frequent else n + shape(w) for w in new]
-            own["key"][:] = [key_of(w) for w in new]
+            code = np.array([self.v.frequent.get(w, -1) for w in new])
+            own["code"][:] = np.where(code >= 0, code, n + shapes(new))
+            own["key"][:] = list(map(key_of, new))
             own["n"][:] = -1
             if len(self.v.keys):
                 found = np.minimum(np.searchsorted(self.v.keys, own["key"]), len(self.v.keys) - 1)
                 own["n"][:] = np.where(self.v.keys[found] == own["key"], self.v.known[found], -1)
             self.place.update(zip(new, range(at, at + len(new))))
-        get = self.place.__getitem__
-        return [np.fromiter(map(get, r), np.int64, len(r)) for r in rows]
+        found = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return found[places], bounds
 
 
 def coder(sent) -> Coder:
@@ -340,24 +340,26 @@ def trained(texts: DataFrame, network: Gru, sent, rounds: int = ROUNDS) -> Gru:
                 """Windows over all lanes while each holds one."""
                 nonlocal tokens, state
                 streams = [np.concatenate(q) for q in queues]
-                used = 0
-                while used + WINDOW <= sizes.min():
-                    block = np.stack([s[used : used + WINDOW] for s in streams], axis=1)
-                    grads, state = own.learn(block[:, :, 0], block[:, :, 1], block[:, :, 2].astype(bool), state)
+                used = int(sizes.min()) // WINDOW * WINDOW
+                block = np.ascontiguousarray(np.stack([s[:used] for s in streams]).transpose(2, 1, 0))
+                inputs, targets, fresh = block[0], block[1], block[2].astype(bool)
+                for i in range(0, used, WINDOW):
+                    now = slice(i, i + WINDOW)
+                    grads, state = own.learn(inputs[now], targets[now], fresh[now], state)
                     adam(grads)
-                    tokens += block.shape[0] * block.shape[1]
-                    used += WINDOW
+                tokens += used * LANES
                 for k, s in enumerate(streams):
                     queues[k] = [s[used:]]
                     sizes[k] -= used
 
             for batch in batches:
-                for b in by_bytes(batch, 0, 2 << 20):
-                    for places in code.texts([lower_words(t) for t in utf8(b.column(0))]):
-                        codes = np.append(code.rows["code"][places], own.end)
+                for b in by_bytes(batch, 0, TRAINING_BYTES):
+                    places, bounds = code.texts(b.column(0))
+                    for codes in np.split(code.rows["code"][places], bounds[1:-1]):
+                        codes = np.append(codes, own.end)
                         for i in range(0, len(codes), SEGMENT):
                             piece = codes[i : i + SEGMENT]
-                            rows = np.zeros((len(piece), 3), np.int64)
+                            rows = np.zeros((len(piece), 3), np.int32)
                             rows[:, 1] = piece
                             rows[1:, 0], rows[0, 0] = piece[:-1], own.start if i == 0 else codes[i - 1]
                             rows[0, 2] = 1
@@ -367,7 +369,7 @@ def trained(texts: DataFrame, network: Gru, sent, rounds: int = ROUNDS) -> Gru:
                     if sizes.min() >= WINDOW:
                         windows()
             # What is left in the lanes, end to end, fills lanes again until less than a window is over.
-            rest = np.concatenate([r for q in queues for r in q]) if any(queues) else np.zeros((0, 3), np.int64)
+            rest = np.concatenate([r for q in queues for r in q]) if any(queues) else np.zeros((0, 3), np.int32)
             for width in (LANES, LANES // 8, 8, 1):
                 steps = len(rest) // width // WINDOW
                 if steps:
@@ -416,10 +418,12 @@ def log_likelihoods(network: Gru, texts: list[np.ndarray], lanes: int = SCORING_
     """Natural log-probability of each row of codes (its end included), the state carried through all of it."""
     dealt = lanes_of([len(t) for t in texts], lanes)
     dealt.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
-    streams = [np.concatenate([texts[i] for i in lane]) for lane in dealt]
-    owners = [np.repeat(lane, [len(texts[i]) for i in lane]) for lane in dealt]
-    lengths = np.array([len(s) for s in streams])
-    steps, width = lengths.max(initial=0), len(streams)
+    lengths = np.array([sum(len(texts[i]) for i in lane) for lane in dealt], np.int64)
+    firsts = np.cumsum(lengths) - lengths
+    flat = [i for lane in dealt for i in lane]
+    stream = np.concatenate([*(texts[i] for i in flat), [-1]])  # lane after lane
+    owners = np.append(np.repeat(np.array(flat, np.int64), [len(texts[i]) for i in flat]), -1)
+    steps, width = lengths.max(initial=0), len(dealt)
     out, state = np.zeros(len(texts)), np.zeros((width, HIDDEN), np.float32)
     gates = network.p["embed"] @ network.p["wx"] + network.p["b"]
     last_code = np.full(width, network.start)
@@ -428,13 +432,9 @@ def log_likelihoods(network: Gru, texts: list[np.ndarray], lanes: int = SCORING_
         live = int((lengths > begin).sum())  # lanes are sorted by length
         state, last_code, last_owner = state[:live], last_code[:live], last_owner[:live]
         size = min(WINDOW, int(lengths[0]) - begin)
-        codes = np.full((size, live), -1)
-        owner = np.full((size, live), -1)
-        full = int((lengths >= begin + size).sum())
-        for k in range(live):
-            n = size if k < full else int(lengths[k]) - begin
-            codes[:n, k] = streams[k][begin : begin + n]
-            owner[:n, k] = owners[k][begin : begin + n]
+        time = np.arange(begin, begin + size)[:, None]
+        places = np.where(time < lengths[:live], firsts[:live] + time, len(stream) - 1)
+        codes, owner = stream[places], owners[places]
         states = np.empty((size, live, HIDDEN), np.float32)
         for t in range(size):
             fresh = owner[t] != last_owner
@@ -465,22 +465,24 @@ def score(docs: DataFrame, network: Gru, vocabulary, counts: DataFrame, carry: l
         inside = np.log10(np.append(v.whole, 1.0))
         for batch in batches:
             for b in by_bytes(batch, 0, SCORING_BYTES):
-                texts = code.texts([lower_words(t) for t in utf8(b.column(0))])
-                sequences = [np.append(code.rows["code"][p], own.end) for p in texts]
-                scores = log_likelihoods(own, sequences) / np.log(10)
-                known, base, rare = [], [], []
-                for k, p in enumerate(texts):
-                    words = {k: x[p] for k, x in code.rows.items()}
-                    n = words["n"]
-                    have = n >= 0
-                    known.append(int(have.sum()) + (v.ends > 0))
-                    base.append(np.log10(n[have] + ALPHA).sum() + np.log10(v.ends + ALPHA) - (len(p) + 1) * whole)
-                    shaped = words["code"] >= own.n
-                    scores[k] += np.log10(n[have & shaped] + ALPHA).sum() - inside[words["code"][shaped] - own.n].sum()
-                    keys, times = np.unique(words["key"][~have], return_counts=True)
-                    rare.append([{"key": int(x), "times": int(y)} for x, y in zip(keys, times)])
-                numbers = [pa.array(range(row, row + len(texts)), pa.int64()), pa.array([len(p) + 1 for p in texts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(rare, rare_type)]
-                row += len(texts)
+                places, bounds = code.texts(b.column(0))
+                lengths = np.diff(bounds)
+                count, owner = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+                codes, n = code.rows["code"][places], code.rows["n"][places]
+                scores = log_likelihoods(own, [np.append(x, own.end) for x in np.split(codes, bounds[1:-1])]) / np.log(10)
+                have, shaped = n >= 0, codes >= own.n
+                logs = np.where(have, np.log10(np.maximum(n, 0) + ALPHA), 0)
+                known = np.bincount(owner[have], minlength=count) + (v.ends > 0)
+                base = np.bincount(owner, logs, count) + np.log10(v.ends + ALPHA) - (lengths + 1) * whole
+                scores += np.bincount(owner[shaped], logs[shaped] - inside[codes[shaped] - own.n], count)
+                # Words of unknown counts, once for each text.
+                width = len(code.rows["key"])
+                rare, times = np.unique(owner[~have] * width + places[~have], return_counts=True)
+                starts = np.searchsorted(rare // width, np.arange(count + 1))
+                inner = pa.StructArray.from_arrays([pa.array(code.rows["key"][rare % width]), pa.array(times, pa.int32())], ["key", "times"])
+                rare = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), inner)
+                numbers = [pa.array(range(row, row + count), pa.int64()), pa.array(lengths + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rare.cast(rare_type)]
+                row += count
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], *numbers], names=schema.names)
 
     # Row numbers are fixed by writing them.

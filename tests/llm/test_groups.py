@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,20 @@ def test_state_is_carried_through_whole_texts(vocabulary):
         assert got == pytest.approx(total, rel=1e-4)
 
 
+def test_different_words_are_looked_up_once(vocabulary, monkeypatch):
+    met: list[bytes] = []
+    key_of = lm.key_of
+    monkeypatch.setattr(lm, "key_of", lambda word: met.append(word) or key_of(word))
+    coder, texts = lm.Coder(vocabulary), [" The cat\tSAT. ", None, "", "  ", "the\nthe cat Ünï \x1c.. q9! q9", "cat"]
+    for _ in range(2):
+        places, bounds = coder.texts(pa.array(texts))
+        want = [[w.encode() for w in words(t)] for t in texts]
+        got = [coder.rows["key"][places[a:b]].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [[key_of(w) for w in t] for t in want]
+    assert len(met) == len(set(met)) == len({w for t in want for w in t})
+    assert lm.shapes([b"a", b"z.", b"..", b"9", b"9,", "é!".encode(), b"\xff", b"x-a"]).tolist() == [0, 51, lm.SHAPES - 1, 54, 55, 53, 52, 0]
+
+
 def test_scores_and_base(spark, sf, monkeypatch):
     monkeypatch.setattr(lm, "KNOWN", 50)
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
