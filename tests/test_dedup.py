@@ -97,6 +97,18 @@ def test_similarity_pairs_are_symmetric_with_unit_diagonal(spark):
     assert got[0, 0] == pytest.approx(1.0, abs=1e-5)
 
 
+def test_whole_similarity_matrix_has_every_pair(spark, monkeypatch):
+    m = np.vstack([np.random.default_rng(3).normal(size=(23, 5)), np.zeros((1, 5))])
+    monkeypatch.setattr(simjoin, "BATCH_VALUES", 20)
+    units = stage(simjoin.unit_vectors(vector_table(spark, m)))
+    sims = cosines(m)
+    for block_rows in (2048, 7):
+        rows = simjoin.similarity_pairs(units, block_rows=block_rows).collect()
+        assert len(rows) == 24 * 24 and min(r.sim for r in rows) < -0.5
+        assert {(r.i, r.j) for r in rows} == {(i, j) for i in range(24) for j in range(24)}
+        assert all(abs(r.sim - sims[r.i, r.j]) < 1e-9 for r in rows)
+
+
 @pytest.mark.parametrize("rows_per_salt", [3, 1_000_000])
 def test_resolve_with_and_without_salted_hot_rows(spark, rows_per_salt):
     rng = np.random.default_rng(1)
