@@ -212,3 +212,38 @@ def test_rows_of_one_id_are_one_row_with_their_frequencies(spark):
     found = textjoin.with_frequencies(terms, stage(textjoin.frequencies(terms))).collect()
     assert {r.row_id: sorted(r.df) for r in found} == {0: [2, 3, 3], None: [1, 3], 1: [2]}
     assert len(found) == 3
+
+
+def test_vectors_are_worked_out_once_and_squares_of_tiles_lose_no_pair(spark, monkeypatch):
+    from siftwatch.operators import sparsetiles
+
+    texts = near_copies(n=120, seed=12)
+    sims = cosines(tfidf(texts, None)[0])
+    units = textjoin.units_of(table(spark, texts), "description", 0.6).repartition(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    blocks = sparsetiles.write(units.mapInArrow(counted, units.schema), block_rows=5)
+    assert seen.value == blocks.n_rows == units.count() and blocks.n >= blocks.n_rows / 5
+    wanted = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if sims[i, j] >= 0.6}
+    for side, placed in ((1, 8_000_000), (3, 0)):
+        monkeypatch.setattr(sparsetiles, "SIDE", side)
+        monkeypatch.setattr(sparsetiles, "SORTED", placed)
+        found = sparsetiles.pairs(blocks, 0.6).collect()
+        assert len(found) == len(wanted) and {(r.i, r.j) for r in found} == wanted
+        assert all(abs(r.sim - sims[r.i, r.j]) < 1e-9 for r in found)
+
+
+def test_chance_meetings_take_no_leader_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 30, replace=False)) for _ in range(200)]
+    taken = []
+    monkeypatch.setattr(textjoin, "leader_rounds", lambda *a: taken.append(a))
+    found = textjoin.find_duplicates(table(spark, texts), pairs_per_entry=1.0)
+    gone, pairs = greedy(cosines(tfidf(texts, None)[0]), dedup.THRESHOLD)
+    assert not taken
+    assert ({r.row_id for r in found.removed.collect()}, {(r.i, r.j) for r in found.pairs.collect()}) == (gone, pairs)
