@@ -6,7 +6,7 @@
    its segments, the d + 1 of most shingles, since two sets in which at most d segments differ agree in one that is among
    these in both; classes that meet under one form a *block*, a superset of what can link. A shared passage does not
    make a meeting: a whole segment must agree.
-3. Search. A block's sets go to one task, or as slices to a grid of tasks if they are many. There, each set looks for
+3. Search. A block's sets go to one task, or are written as slices, once, that a grid of tasks reads if they are many. There, each set looks for
    others that share at least T shingles (DivideSkip): its longest inverted lists are put aside, the short ones are
    merged, and the few ids that occur often enough are probed in the long lists by binary search. Every pair of classes
    that could link and is not yet in one group is decided exactly; pairs are never written out, only groups.
@@ -28,10 +28,11 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from siftwatch.llm.texts import by_bytes, fresh, lower_words, one_per_worker, release_worker, utf8
-from siftwatch.staging import stage
+from siftwatch.staging import stage, stage_path
 
 SIZE = 3
 #: Two sets link when 100 * |intersection| >= PER_CENT * |union|.
@@ -41,6 +42,8 @@ PER_CENT = 90
 SPARE, SPARE_PER_EMPTY = 2, 4
 #: Shingles in one slice of a block.
 SLICE = 500_000
+#: Tasks that the pairs of slices are dealt to at most.
+GRID_TASKS = 2000
 #: Times that sets may be as large as the smallest of their band, as a power of the largest ratio of two that link. In
 #: wide bands few sets have partners in the next one, where they are listed as well.
 BAND_POWER = 3
@@ -318,42 +321,77 @@ def sifted(texts: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return texts.withColumn("_bit", F.pmod(F.xxhash64(column), F.lit(BLOOM_BITS))).mapInArrow(run, texts.schema)
 
 
+def linked(classes: np.ndarray, sets: list[bytes], side: np.ndarray, per_cent: int) -> pa.RecordBatch:
+    """Each class with the first of its group."""
+    own, once = np.unique(classes, return_index=True)
+    group = search([np.frombuffer(sets[k], np.uint64) for k in once], side[once], per_cent)
+    return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[group])], names=["class", "root"])
+
+
 def block_links(members: DataFrame, per_cent: int) -> DataFrame:
-    """(class, root) for all rows (block, i, j, side, class, set) of the tasks (block, i, j); a task's rows come together."""
-    task = ["block", "i", "j"]
+    """(class, root) for all rows (block, class, set) of blocks that one task searches; a block's rows come together."""
 
     def solve(rows):
-        classes = np.array([r[4] for r in rows])
-        _, once = np.unique(classes, return_index=True)
-        sets = [np.frombuffer(rows[k][5], np.uint64) for k in once]
-        group = search(sets, np.array([rows[k][3] for k in once]), per_cent)
-        own = classes[once]
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(own[group])], names=["class", "root"])
+        return linked(np.array([r[1] for r in rows]), [r[2] for r in rows], np.zeros(len(rows), np.int64), per_cent)
 
     def run(batches):
         release_worker()
         held, last = [], None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:3] != last:
+                if row[0] != last:
                     if held:
                         yield solve(held)
-                    held, last = [], row[:3]
+                    held, last = [], row[0]
                 held.append(row)
         if held:
             yield solve(held)
 
-    dealt = members.select(*task, "side", "class", "set").repartition(*task).sortWithinPartitions(*task, "class")
+    dealt = members.select("block", "class", "set").repartition("block").sortWithinPartitions("block", "class")
     return dealt.mapInArrow(run, "class long, root long")
 
 
+def slice_of(folder: str, block: int, number: int) -> pa.Table | None:
+    """The classes and sets of one written slice."""
+    store, place = fs.FileSystem.from_uri(folder)
+    path = f"{place}/block={block}/slice={number}"
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    return parquet.read_table(path, filesystem=store, partitioning=None, columns=["class", "set"])
+
+
+def grid_links(members: DataFrame, slices: DataFrame, per_cent: int) -> DataFrame:
+    """(class, root) for all rows (block, slices, class, set) of blocks that are cut into ``slices (block, slices)``.
+    A slice is written once, and the task of each pair of slices reads two of them: sets are moved once, however many
+    slices theirs meets."""
+    folder = stage_path(members.sparkSession)
+    own = F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")
+    dealt = members.select("block", own.alias("slice"), "class", "set").repartition("block", "slice")
+    dealt.write.partitionBy("block", "slice").parquet(folder)
+
+    def run(batches):
+        release_worker()
+        for batch in batches:
+            for block, i, j in zip(*(c.to_pylist() for c in batch.columns)):
+                tables = [slice_of(folder, block, k) for k in dict.fromkeys((i, j))]
+                if any(t is None for t in tables):
+                    continue
+                sets = [x for t in tables for x in t.column("set").to_pylist()]
+                side = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
+                yield linked(np.concatenate([t.column("class").to_numpy() for t in tables]), sets, side, per_cent)
+
+    grid = slices.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    grid = stage(grid.select("block", "i", F.explode(F.sequence("i", F.col("slices") - 1)).alias("j")))
+    return grid.repartition(min(GRID_TASKS, max(1, grid.count()))).mapInArrow(run, "class long, root long")
+
+
 def grouped(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, id_col: str = "doc_id", text_col: str = "text", slice_size: int = SLICE) -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` (the smallest id that links reach) of every row."""
     rows = stage(sets_of(docs, size, id_col, text_col))
     classes = stage(rows.where("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.max("n").alias("n")))
     blocks = components(stage(candidate_edges(docs, size, per_cent, id_col, text_col)))
     members = stage(blocks.withColumnRenamed("root", "block").join(classes, F.col("v") == F.col("class")).drop("v"))
-    slices = members.groupBy("block").agg(F.ceil(F.sum("n") / slice_size).cast("int").alias("slices"))
+    slices = stage(members.groupBy("block").agg(F.ceil(F.sum("n") / slice_size).cast("int").alias("slices")))
     members = stage(members.join(slices, "block"))
 
     schema = T.StructType([*(members.schema[c] for c in ("block", "slices", "class")), T.StructField("set", T.BinaryType())])
@@ -367,11 +405,16 @@ def grouped(docs: DataFrame, size: int = SIZE, per_cent: int = PER_CENT, id_col:
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([s.tobytes() for s in found], pa.binary())], names=schema.names).filter(same)
 
     texts = docs.select(F.col(id_col).alias("first"), F.col(text_col).alias("_text"))
-    with_sets = sifted(texts, members, "first").join(members.select("first", "block", "slices", "class"), "first").select("_text", "block", "slices", "class").mapInArrow(sets, schema)
-    own = F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")
-    tasks = with_sets.withColumn("t", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tasks = tasks.withColumns({"i": F.least("t", "o"), "j": F.greatest("t", "o"), "side": (F.col("t") > F.col("o")).cast("int")})
-    links = stage(block_links(tasks, per_cent).where("class <> root").distinct().select(F.col("class").alias("a"), F.col("root").alias("b")))
+
+    def with_sets(some):
+        found = sifted(texts, some, "first").join(some.select("first", "block", "slices", "class"), "first")
+        return found.select("_text", "block", "slices", "class").mapInArrow(sets, schema)
+
+    several = slices.where("slices > 1")
+    met = block_links(with_sets(members.where("slices = 1")), per_cent)
+    if not several.isEmpty():
+        met = met.unionByName(grid_links(with_sets(members.where("slices > 1")), several, per_cent))
+    links = stage(met.where("class <> root").distinct().select(F.col("class").alias("a"), F.col("root").alias("b")))
     roots = components(links)
 
     whole = classes.join(roots, F.col("class") == F.col("v"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))

@@ -269,6 +269,23 @@ def test_language_model_edges(spark):
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in lm.held_out_scores(only_held).collect())
 
 
+def test_sets_of_a_sliced_block_are_written_once(spark, monkeypatch):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, f"{shared} own{i}") for i in range(40)] + [(40 + i, f"x{i} y{i} z{i} q{i}") for i in range(5)]
+    held = []
+    links = jc.grid_links
+
+    def watched(members, slices, per_cent):
+        held.append((members.count(), [r.slices for r in slices.collect()]))
+        return links(members, slices, per_cent)
+
+    monkeypatch.setattr(jc, "grid_links", watched)
+    got = {r.doc_id: r.component_id for r in jc.grouped(docs_of(spark, rows), slice_size=200).collect()}
+    assert got == {i: 0 if i < 40 else i for i in range(45)}
+    (moved, (slices,)), = held
+    assert moved == 40 and slices > 5
+
+
 # the pipeline
 
 
